@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import leakage, mixing, splitting, truncation
+from lodeseek.llm import broken_files, foreign_files, leakage, mixing, splitting, truncation
 from lodeseek.sources.tables import cut_lineage, read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = broken_files.check_files(read_table(spark, sf_dir, "chunks"))
+    return broken_files.broken_files(checked).select("file_path").distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of broken files for each repository and language."""
+    return broken_files.rates(broken_files.check_files(read_table(spark, sf_dir, "chunks")))
+
+
+def p1_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceptance of each language's grammar, with the most frequent first cause."""
+    return broken_files.acceptance(cut_lineage(broken_files.check_files(read_table(spark, sf_dir, "chunks"))))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = foreign_files.classify_files(read_table(spark, sf_dir, "chunks"))
+    return files.where("kind != 'hand'").select("file_path").distinct()
+
+
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its kind and the reason."""
+    return foreign_files.classify_files(read_table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(read_table(spark, sf_dir, "chunks"))
     return pieces.where(~F.col("long_line")).select("chunk_id", "piece_no", "start_line", "end_line").distinct()
