@@ -5,6 +5,19 @@ from __future__ import annotations
 
 def llm_oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": """
+            WITH t AS (
+                SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS ts FROM chunks
+            ), s AS (
+                SELECT DISTINCT chunk_id, unnest([array_to_string(ts[i : i + 2], ' ') FOR i IN range(1, len(ts) - 1)]) AS gram
+                FROM t WHERE len(ts) >= 40
+            ), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+            p AS (
+                SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS common
+                FROM s a JOIN s b ON a.gram = b.gram AND a.chunk_id < b.chunk_id GROUP BY 1, 2
+            )
+            SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b
+            WHERE common >= 0.6 * (x.n + y.n - common)""",
         "p7_found": """
             WITH w AS (
                 SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents

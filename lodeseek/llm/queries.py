@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import broken_files, foreign_files, leakage, mixing, splitting, truncation
+from lodeseek.llm import broken_files, foreign_files, leakage, mixing, similarity, splitting, truncation
 from lodeseek.sources.tables import cut_lineage, read_table
 
 
@@ -36,6 +36,18 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_files.classify_files(read_table(spark, sf_dir, "chunks"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = similarity.similar_texts(read_table(spark, sf_dir, "chunks"), "chunk_id", "content")
+    found = similarity.row_pairs(members, pairs)
+    return found.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and group of each row of at least 40 tokens."""
+    members, pairs = similarity.similar_texts(read_table(spark, sf_dir, "chunks"), "chunk_id", "content")
+    return similarity.near_duplicate_groups(members, pairs).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(read_table(spark, sf_dir, "chunks"))
     return pieces.where(~F.col("long_line")).select("chunk_id", "piece_no", "start_line", "end_line").distinct()

@@ -1,0 +1,57 @@
+"""Counts of hashed values in a table of fixed size, gathered by Spark and small enough to be broadcast."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Cells of a sketch: 4 MB of counts, whatever the size of the data.
+CELLS = 1 << 20
+_BLOCK = 1 << 14
+
+
+def _cells(values: np.ndarray) -> np.ndarray:
+    mixed = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(44)).astype(np.int64)
+
+
+def lookup(sketch: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each value a count that is at least its own."""
+    return sketch[_cells(values)]
+
+
+def count_sketch(df: DataFrame, column: str) -> np.ndarray:
+    """Counts of the values of ``column`` (long, or binary that holds an array of 64-bit numbers), by cell.
+
+    Each task adds up its own cells; tasks' blocks are summed by block, so nothing larger than a block of 64 KB is moved
+    as a row and the driver gets the 4 MB of the result.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            values = batch[column]
+            if len(values) and isinstance(values.iloc[0], (bytes, bytearray)):
+                joined = np.frombuffer(b"".join(values), np.uint64)
+            else:
+                joined = values.to_numpy().astype(np.int64).view(np.uint64)
+            total += np.bincount(_cells(joined), minlength=CELLS)
+        for at in range(0, CELLS, _BLOCK):
+            part = total[at : at + _BLOCK]
+            if part.any():
+                yield pd.DataFrame({"block": [at // _BLOCK], "counts": [part.astype(np.int64).tobytes()]})
+
+    def add(key, group: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(np.frombuffer(c, np.int64) for c in group["counts"])
+        counts = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
+        return pd.DataFrame({"block": [key[0]], "counts": [counts.tobytes()]})
+
+    schema = "block int, counts binary"
+    partial = df.select(column).mapInPandas(count, schema)
+    sketch = np.zeros(CELLS, np.uint32)
+    for row in partial.groupBy("block").applyInPandas(add, schema).toLocalIterator():
+        sketch[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint32)
+    return sketch
