@@ -18,6 +18,21 @@ def llm_oracle_sql() -> dict[str, str]:
             )
             SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b
             WHERE common >= 0.6 * (x.n + y.n - common)""",
+        "p4_found": """
+            WITH v AS (
+                SELECT 'vector' AS field, chunk_id, vector::DOUBLE[] AS v FROM chunks
+                UNION ALL SELECT 'summary_vector', chunk_id, summary_vector::DOUBLE[] FROM chunks
+            ), u AS (
+                SELECT * FROM v WHERE len(v) = 64 AND len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+                AND len([x FOR x IN v IF x <> 0]) > 0
+            ), c AS (
+                SELECT a.field, a.chunk_id AS id, b.chunk_id AS other, list_cosine_similarity(a.v, b.v) AS s
+                FROM u a JOIN u b ON a.field = b.field AND a.chunk_id <> b.chunk_id
+            ), r AS (
+                SELECT field, id, other, row_number() OVER (PARTITION BY field, id ORDER BY s DESC, other) AS n
+                FROM c WHERE s >= 0.9
+            )
+            SELECT DISTINCT field, least(id, other) AS chunk_id_a, greatest(id, other) AS chunk_id_b FROM r WHERE n <= 10""",
         "p7_found": """
             WITH w AS (
                 SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import broken_files, foreign_files, leakage, mixing, similarity, splitting, truncation
+from lodeseek.llm import broken_files, foreign_files, leakage, mixing, neighbours, similarity, splitting, truncation
 from lodeseek.sources.tables import cut_lineage, read_table
 
 
@@ -48,6 +48,19 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicate_groups(members, pairs).withColumnRenamed("id", "chunk_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = neighbours.similar_vectors(read_table(spark, sf_dir, "chunks"), "chunk_id", ["vector", "summary_vector"])
+    found = neighbours.neighbour_pairs(lists)
+    return found.select("field", F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p4_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors, whatever their cosine, of every row whose id is divisible by 100."""
+    chunks = read_table(spark, sf_dir, "chunks")
+    lists = neighbours.query_neighbours(chunks, "chunk_id", ["vector", "summary_vector"], F.col("chunk_id") % 100 == 0)
+    return lists.select("field", F.col("id").alias("chunk_id"), F.col("other").alias("chunk_id_b"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(read_table(spark, sf_dir, "chunks"))
     return pieces.where(~F.col("long_line")).select("chunk_id", "piece_no", "start_line", "end_line").distinct()
