@@ -26,12 +26,14 @@ DIM = 64
 K = 10
 MIN_COSINE = 0.9
 #: Vectors on which the codebooks are fitted, at most.
-SAMPLE = 16_384
+SAMPLE = 12_288
 #: Codewords of each codebook behind the two that name the cell, and the number of these codebooks.
-WORDS, BOOKS = 256, 6
-BEAM = 4
+WORDS, BOOKS = 256, 8
+BEAM = 3
+#: Rounds of encoding the sample and fitting all codewords anew.
+REFITS = 1
 #: Vectors that a cell should hold on average, and cells that a query looks into.
-CELL, PROBES = 48, 24
+CELL, PROBES = 48, 16
 #: Members of a cell that one task compares with the queries; a fuller cell is cut into blocks.
 BLOCK = 4096
 #: Best candidates that a query keeps from a block of a cell, by approximate score.
@@ -49,33 +51,30 @@ class Codebooks:
     def __post_init__(self):
         self.all = np.concatenate(self.words)
         self.starts = np.cumsum([0, *map(len, self.words)]).tolist()
-        self.cross = (self.all @ self.all.T).astype(np.float32)
         self.norms = np.einsum("ij,ij->i", self.all, self.all).astype(np.float32)
 
     def encode(self, vectors: np.ndarray, beam: int = BEAM, books: int | None = None) -> np.ndarray:
         """Codes (places in the joined codebooks) of each vector by beam search, best first: (n, beam, books)."""
         books = len(self.words) if books is None else books
-        n = len(vectors)
-        inner = vectors @ self.all.T
+        n, dim = vectors.shape
         codes = np.zeros((n, 1, 0), np.int64)
-        error = np.zeros((n, 1), np.float32)  # squared error less the vector's own square
+        rest = vectors[:, None, :]
+        error = np.einsum("ij,ij->i", vectors, vectors)[:, None]
         for b in range(books):
-            at = slice(self.starts[b], self.starts[b + 1])
-            step = self.norms[at] - 2 * inner[:, None, at]
-            step = step + 2 * self.cross[:, at][codes].sum(2) if b else step
-            total = error[:, :, None] + step
-            width = total.shape[1] * total.shape[2]
-            keep = min(beam, width)
-            flat = total.reshape(n, width)
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < width else np.tile(np.arange(width), (n, 1))
-            value = np.take_along_axis(flat, best, 1)
+            words = self.words[b]
+            norms = self.norms[self.starts[b] : self.starts[b + 1]]
+            total = (error[:, :, None] - 2 * (rest @ words.T) + norms).reshape(n, -1)
+            keep = min(beam, total.shape[1])
+            if keep < total.shape[1]:
+                best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
+            else:
+                best = np.broadcast_to(np.arange(keep), total.shape)
+            value = np.take_along_axis(total, best, 1)
             order = np.argsort(value, axis=1, kind="stable")
             best, error = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
-            size = self.starts[b + 1] - self.starts[b]
-            parent = best // size
-            codes = np.concatenate(
-                [np.take_along_axis(codes, parent[:, :, None], 1), (best % size + self.starts[b])[:, :, None]], axis=2
-            )
+            parent, word = best // len(words), best % len(words)
+            rest = np.take_along_axis(rest, parent[:, :, None], 1) - words[word]
+            codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), (word + self.starts[b])[:, :, None]], axis=2)
         return codes
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -100,6 +99,21 @@ def _kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
     return centres.astype(np.float32)
 
 
+def _refit(books: Codebooks, sample: np.ndarray, ridge: float = 0.05) -> Codebooks:
+    """All codewords at once by least squares, with the codes that the beam finds now."""
+    size = len(books.all)
+    gram, right = np.zeros((size, size), np.float32), np.zeros((size, sample.shape[1]), np.float32)
+    for part in np.array_split(sample, max(1, len(sample) // 1024)):
+        codes = books.encode(part)[:, 0]
+        chosen = np.zeros((len(part), size), np.float32)
+        np.put_along_axis(chosen, codes, 1.0, 1)
+        gram += chosen.T @ chosen
+        right += chosen.T @ part
+    gram[np.diag_indices(size)] += ridge
+    words = np.linalg.solve(gram.astype(np.float64), (right + ridge * books.all).astype(np.float64)).astype(np.float32)
+    return Codebooks(np.split(words, books.starts[1:-1]))
+
+
 def fit(sample: np.ndarray, total: int, min_cosine: float, seed: int = 11) -> Codebooks:
     """Codebooks for a collection of ``total`` vectors: residual k-means, then one pass that refits each codebook."""
     rng = np.random.default_rng(seed)
@@ -111,15 +125,8 @@ def fit(sample: np.ndarray, total: int, min_cosine: float, seed: int = 11) -> Co
         score = residual @ words[-1].T - 0.5 * np.einsum("ij,ij->i", words[-1], words[-1])
         residual = residual - words[-1][score.argmax(1)]
     books = Codebooks(words)
-    for b in range(len(words)):  # with the others' codes from the beam fixed, a word is the mean of what it has to add
-        codes = np.concatenate([books.encode(part)[:, 0] for part in np.array_split(sample, max(1, len(sample) // 1024))])
-        own = codes[:, b] - books.starts[b]
-        target = sample - books.decode(codes) + words[b][own]
-        sums = np.zeros_like(words[b])
-        np.add.at(sums, own, target)
-        counts = np.bincount(own, minlength=len(words[b]))
-        words[b] = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], words[b]).astype(np.float32)
-        books = Codebooks(words)
+    for _ in range(REFITS):
+        books = _refit(books, sample)
     # How far the approximate cosine of two codes may fall below the cosine: measured on sampled vectors and noisy copies.
     some = sample[: min(len(sample), 2048)]
     noise = rng.standard_normal(some.shape).astype(np.float32)
