@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import broken_files, foreign_files, leakage, mixing, neighbours, similarity, splitting, truncation
+from lodeseek.llm import broken_files, documented, foreign_files, leakage, mixing, neighbours, similarity, splitting, truncation
 from lodeseek.sources.tables import cut_lineage, read_table
 
 
@@ -61,6 +61,16 @@ def p4_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("field", F.col("id").alias("chunk_id"), F.col("other").alias("chunk_id_b"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = documented.documented_functions(read_table(spark, sf_dir, "parsed_chunks"))
+    return pairs.select("file_path", "func_name").distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of each documented function."""
+    return documented.documented_functions(read_table(spark, sf_dir, "parsed_chunks")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(read_table(spark, sf_dir, "chunks"))
     return pieces.where(~F.col("long_line")).select("chunk_id", "piece_no", "start_line", "end_line").distinct()
