@@ -135,7 +135,9 @@ def fit(sample: np.ndarray, total: int, min_cosine: float, seed: int = 11) -> Co
     copies = min_cosine * some + np.sqrt(1 - min_cosine**2) * noise
     a, b = (books.decode(books.encode(x.astype(np.float32))[:, 0]) for x in (some, copies))
     approximate = np.einsum("ij,ij->i", a, b) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-9)
-    books.threshold = float(np.quantile(approximate, 0.001)) - 0.02 if len(some) else -1.0
+    # Codes that fit the sample closely give its vectors' cosines as they are, whatever they make of the noisy copies.
+    fidelity = np.einsum("ij,ij->i", some, a).sum() / max(np.linalg.norm(a, axis=1).sum(), 1e-9)
+    books.threshold = min(float(np.quantile(approximate, 0.001)), min_cosine * fidelity**2) - 0.02
     return books
 
 
