@@ -9,6 +9,7 @@ mark of omission) are found without a limit too.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -123,19 +124,14 @@ def hidden_limits(documents: DataFrame, min_texts: int = 5, min_share: float = 0
         .groupBy("source", "counting", "length")
         .agg(F.count("*").alias("texts"))
     )
-    peaks = by_length.where(F.col("texts") >= min_texts).alias("p")
-    other = by_length.alias("o")
-    same = F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.counting") == F.col("o.counting"))
-    near = peaks.join(other, same & (F.col("o.length") >= F.col("p.length") * 0.9))
-    return (
-        near.groupBy("p.source", "p.counting", "p.length", "p.texts")
-        .agg(
-            F.sum("o.texts").alias("near"),
-            F.sum(F.when(F.col("o.length") > F.col("p.length") + slack, F.col("o.texts")).otherwise(0)).alias("beyond"),
-        )
-        .where((F.col("beyond") * 10 <= F.col("texts")) & (F.col("texts") >= F.col("near") * min_share))
-        .select("source", "counting", "length", "texts")
-    )
+    # Frames over the lengths of a source: one row a length, however many texts there are. Nine tenths of a length lie a
+    # fixed distance below it on a logarithmic scale.
+    partition = "PARTITION BY source, counting ORDER BY"
+    near = F.expr(f"sum(texts) OVER ({partition} ln(length) RANGE BETWEEN {-math.log(0.9)!r}D PRECEDING AND UNBOUNDED FOLLOWING)")
+    beyond = F.expr(f"sum(texts) OVER ({partition} length RANGE BETWEEN {slack + 1} FOLLOWING AND UNBOUNDED FOLLOWING)")
+    framed = by_length.where(F.col("length") > 0).withColumn("near", near).withColumn("beyond", F.coalesce(beyond, F.lit(0)))
+    limit = (F.col("texts") >= min_texts) & (F.col("beyond") * 10 <= F.col("texts"))
+    return framed.where(limit & (F.col("texts") >= F.col("near") * min_share)).select("source", "counting", "length", "texts")
 
 
 def find_truncated(documents: DataFrame) -> DataFrame:
