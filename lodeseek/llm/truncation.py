@@ -91,7 +91,7 @@ def ending(text: str) -> str:
         loose = siblings and sum(not _SENTENCE_END.search(s) for s in siblings) > len(siblings) / 2
         short = 0 < len(words) <= 3 and not words[0][0].isupper()
         return "weak" if loose or short else "open"
-    if _REFERENCE.match(last) or _BRACKETED.match(last) or _REMARK.match(last):
+    if _REFERENCE.match(re.split(r"(?<=[.?!]) ", last)[-1]) or _BRACKETED.match(last) or _REMARK.match(last):
         return "weak"
     alone = len(lines) == 1 or not lines[-2].strip()
     if _SIGNATURE.match(last) and len(last.split()) <= 6:

@@ -10,7 +10,7 @@ from lodeseek.llm import truncation as T
         ("| a | 1 |\n| b | 2 |", "closed"), ("Text.\n\n- [x] one\n- [ ] two", "weak"), ("Text.\n\nRefs: #12", "weak"),
         ("Text.\n\nLGTM", "weak"), ("Text.\n\nThanks,\nthe core team", "weak"), ("Text.\n\n-- the desk", "weak"),
         ("Text.\n\n(end of notes)", "weak"), ("Text.\n\n:-)", "weak"), ("Text.\nSee also: docs/a/b.md", "weak"),
-        ("It stops in the mid", "open"), ("- It stops in", "open"), ("Code:\n```py\nx = (1", "open_code"),
+        ("It stops in the mid", "open"), ("All said. See also: docs/a.md", "weak"), ("- It stops in", "open"), ("Code:\n```py\nx = (1", "open_code"),
         ("It was cut he...", "omission"), ("It was cut he [...]", "omission"), ("It was cut he…", "omission"),
         ("bad byt�", "broken_char"),
     ],
