@@ -24,7 +24,8 @@ _FUSED = f"""
     ), fused AS (
         SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score, arg_min(chunk_id, list * 1000 + r) AS chunk_id,
             arg_min(file_path, list * 1000 + r) AS file_path, arg_min(start_line, list * 1000 + r) AS start_line,
-            arg_min(end_line, list * 1000 + r) AS end_line, arg_min(symbol, list * 1000 + r) AS symbol
+            arg_min(end_line, list * 1000 + r) AS end_line, arg_min(symbol, list * 1000 + r) AS symbol,
+            arg_min(content, list * 1000 + r) AS content, arg_min(struct_pack(s := summary), list * 1000 + r).s AS summary
         FROM lists GROUP BY id ORDER BY score DESC, id LIMIT 10
     )"""
 
@@ -93,6 +94,18 @@ def core_oracle_sql() -> dict[str, str]:
             WITH {_FUSED}, n AS (SELECT *, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM fused)
             SELECT rank, printf('[%d] rrf:%.4f  %s:%d-%d', rank, score, file_path, start_line, end_line)
                 || CASE WHEN coalesce(symbol, '') = '' THEN '' ELSE '  ' || symbol END AS line FROM n""",
+        "render_json": f"""
+            WITH {_FUSED}, n AS (SELECT *, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM fused)
+            SELECT rank, to_json(struct_pack(rank := rank, file_path := file_path, start_line := start_line, end_line := end_line,
+                symbol := symbol, score := score, content := content, summary := summary))::VARCHAR AS json FROM n""",
+        "render_text_block": f"""
+            WITH {_QUERY}, {_CONTENT}, top AS (SELECT * FROM content ORDER BY score, chunk_id LIMIT 10),
+            n AS (SELECT *, row_number() OVER (ORDER BY score, chunk_id)::INT AS rank FROM top)
+            SELECT rank, printf('[%d] dist:%.4f  %s:%d-%d', rank, score, file_path, start_line, end_line)
+                || CASE WHEN coalesce(symbol, '') = '' THEN '' ELSE '  ' || symbol END
+                || CASE WHEN coalesce(summary, '') = '' THEN '' ELSE chr(10) || '  ' || summary END
+                || chr(10) || array_to_string(['  ' || x FOR x IN ({_LINES.format('content')})[1:3]], chr(10)) AS block
+            FROM n""",
         "preview_lines": f"""
             SELECT chunk_id, CASE WHEN content = '' THEN '' ELSE array_to_string(['  ' || x FOR x IN ({_LINES.format('content')})[1:3]], chr(10)) END AS preview
             FROM chunks""",
