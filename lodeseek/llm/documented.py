@@ -333,7 +333,10 @@ def functions_in(language: str, text: str) -> list[Found]:
             _GRAMMARS[language] = _brace_grammar(language)
         else:
             return []
-    got = _GRAMMARS[language](State(text), 0)
+    try:
+        got = _GRAMMARS[language](State(text), 0)
+    except RecursionError:  # brackets nested deeper than any code
+        return []
     if got is None:
         return []
     if language == "python":

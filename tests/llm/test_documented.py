@@ -121,3 +121,7 @@ def test_rows(spark):
     assert pairs["a.py", "f"].end_line == 60 and pairs["a.py", "one"].start_line == 84
     assert pairs["a.py", "one"].code.lstrip().startswith("def one") and pairs["b.go", "Q"].doc is None
     assert D.pair_functions(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_gives_no_function():
+    assert D.functions_in("rust", "(" * 100_000) == [] and D.functions_in("python", "x = " + "[" * 100_000) == []
