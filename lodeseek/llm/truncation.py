@@ -32,8 +32,9 @@ def lengths(text: Column) -> dict[str, Column]:
     angle = 4 * _count(text, "&") + 3 * (_count(text, "<") + _count(text, ">"))
     quotes = 5 * _count(text, '"')
     backslashed = line_ends + _count(text, '"') + _count(text, "\\") + _count(text, "\t") + _count(text, "\r")
-    wide = F.octet_length(F.encode(text, "UTF-16BE")) / 2
-    not_ascii = F.regexp_count(text, F.lit(r"[^\x00-\x7F]"))
+    plain = octets == chars  # most texts are ASCII, for which the dearer counts aren't needed
+    wide = F.when(plain, chars).otherwise(F.octet_length(F.encode(text, "UTF-16BE")) / 2)
+    not_ascii = F.when(plain, 0).otherwise(F.regexp_count(text, F.lit(r"[^\x00-\x7F]")))
     return {
         "chars": chars,
         "utf8": octets,
@@ -50,6 +51,11 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def without_mark(text: Column) -> Column:
+    """``text`` without a mark of omission at its end; only ends that have one are rewritten."""
+    return F.when(F.right(text, F.lit(12)).rlike(OMISSION), F.regexp_replace(text, OMISSION, "")).otherwise(text)
+
+
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.MULTILINE)
 _MARK = re.compile(OMISSION.replace(r"\z", r"\Z"))
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*\Z")
@@ -113,7 +119,7 @@ def hidden_limits(documents: DataFrame, min_texts: int = 5, min_share: float = 0
     ``slack`` longer, and these texts are at least ``min_share`` of those that reach nine tenths of it. A mark of
     omission at the end isn't counted. Null texts don't count; a null source is a source of its own.
     """
-    text = F.regexp_replace("text", OMISSION, "")
+    text = without_mark(F.col("text"))
     one = documents.where(F.col("text").isNotNull()).select("source", text.alias("text"))
     counted = F.array(*[F.struct(F.lit(k).alias("counting"), v.alias("length")) for k, v in lengths(F.col("text")).items()])
     sizes = one.select("source", F.xxhash64("text").alias("text_hash"), F.inline(counted))
@@ -150,7 +156,7 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     )
     schema = "doc_id long, source string, n_chars long, most int, sizes map<string,int>, ending string"
 
-    stripped = F.regexp_replace("text", OMISSION, "")
+    stripped = without_mark(F.col("text"))
     sized = documents.select(
         "*",
         F.greatest(*lengths(F.col("text")).values()).alias("most"),
