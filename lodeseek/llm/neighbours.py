@@ -357,7 +357,7 @@ def neighbour_pairs(lists: DataFrame) -> DataFrame:
 
 
 #: Queries that are held against all rows at once, and candidates of each that are reranked exactly.
-QUERY_BLOCK, RERANK = 2048, 400
+QUERY_BLOCK, RERANK = 2048, 800
 
 
 def query_neighbours(
@@ -426,7 +426,7 @@ def query_neighbours(
         scored = one if scored is None else scored.unionByName(one)
     pairs = scored.select("field", F.col("query").alias("a"), F.col("class_key").alias("b"))
     pairs = pairs.where("a != b")
-    left = classes.select("field", F.col("class_key").alias("a"), F.col("vector").alias("x"))
+    left = asked.select("field", F.col("class_key").alias("a"), F.col("vector").alias("x"))
     right = classes.select("field", F.col("class_key").alias("b"), F.col("vector").alias("y"))
 
     def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
