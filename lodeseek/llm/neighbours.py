@@ -356,8 +356,36 @@ def neighbour_pairs(lists: DataFrame) -> DataFrame:
     return lists.select("field", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-#: Queries that are held against all rows at once, and candidates of each that are reranked exactly.
-QUERY_BLOCK, RERANK = 2048, 800
+#: Queries that are held against all rows in one pass, and rows and queries of one product of matrices.
+QUERY_BLOCK, TILE = 16_384, 2048
+#: Products of unit vectors in single precision are off by less; what lies so close behind the k-th best is kept.
+SLACK = 2e-5
+
+
+class _Best:
+    """The best keys of each query so far, by single-precision cosine, with all that may be as good as the k-th."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, k: int):
+        self.keys, self.vectors, self.k = keys, vectors, k
+        self.least = np.full(len(keys), -2.0, np.float32)
+        self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        parts = [self.held]
+        for at in range(0, len(self.keys), TILE):
+            score = self.vectors[at : at + TILE] @ vectors.T
+            i, j = np.nonzero(score >= self.least[at : at + TILE, None])
+            other = self.keys[at + i] != keys[j]
+            i, j = i[other], j[other]
+            parts.append((at + i, keys[j], score[i, j]))
+        query, key, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((-value, query))
+        query, key, value = query[order], key[order], value[order]
+        first = np.searchsorted(query, np.arange(len(self.keys)))
+        full = np.flatnonzero(np.bincount(query, minlength=len(self.keys)) >= self.k)
+        self.least[full] = value[first[full] + self.k - 1] - SLACK
+        good = value >= self.least[query]
+        self.held = (query[good], key[good], value[good])
 
 
 def query_neighbours(
@@ -367,21 +395,19 @@ def query_neighbours(
     is_query: Column,
     k: int = K,
     dim: int = DIM,
-    sample: int = SAMPLE,
-    rerank: int = RERANK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The ``k`` most similar vectors of each query, whatever their cosine: field, id, other, cosine, rank.
 
-    Queries are the usable vectors of rows for which ``is_query`` holds; they are scored, a block at a time, against the
-    codes of all vectors of the field, and the best ``rerank`` of each are reranked exactly. Every task keeps its own
-    best, so what is shuffled doesn't grow with the rows of a task. Nulls and ties as in ``similar_vectors``.
+    Exact: queries are the usable vectors of rows for which ``is_query`` holds; a block of them at a time is multiplied
+    with the vectors of all classes of the field. Codes don't help here: their error lets most vectors pass any bound that
+    is safe, and looking up their products takes longer than the products of the vectors. Every task keeps the ``k`` best
+    of each query and whatever single precision can't tell from them; these are compared in double precision. Nulls and
+    ties as in ``similar_vectors``.
     """
     vectors = usable_vectors(rows, id_col, fields, dim)
     members, classes = vector_classes(vectors)
     classes = cut_lineage(classes)
-    books = fit_fields(classes, fields, MIN_COSINE, sample)
-    coded = cut_lineage(encode_classes(classes, books).select("field", "class_key", "codes", "norm"))
     wanted = members.withColumnRenamed("id", id_col).where(is_query).select("field", F.col(id_col).alias("id"), "class_key")
     asked = cut_lineage(wanted.select("field", "class_key").distinct().join(classes, ["field", "class_key"]))
     blocks = int(asked.count() // query_block) + 1
@@ -390,42 +416,33 @@ def query_neighbours(
         part = asked.where(F.pmod(F.xxhash64("class_key", F.lit(13)), F.lit(blocks)) == block).collect()  # one bounded block
         by_field = {f: [r for r in part if r.field == f] for f in fields}
         held = {
-            f: (np.array([r.class_key for r in q], np.int64), _unit(np.array([r.vector for r in q], np.float64)) @ books[f].all.T)
+            f: (np.array([r.class_key for r in q], np.int64), _unit(np.array([r.vector for r in q], np.float64)))
             for f, q in by_field.items()
             if q
         }
-        shared = coded.sparkSession.sparkContext.broadcast((held, {f: len(b.all) for f, b in books.items()}))
+        shared = classes.sparkSession.sparkContext.broadcast(held)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            best = {name: _Best(*q, k) for name, q in shared.value.items()}
             for batch in batches:
                 for name, g in batch.groupby("field", sort=False):
-                    if name not in shared.value[0]:
-                        continue
-                    tables = shared.value[0][name][1]
-                    codes = np.frombuffer(b"".join(g["codes"]), np.uint16).reshape(len(g), -1)
-                    score = np.zeros((len(tables), len(g)), np.float32)
-                    for m in range(codes.shape[1]):
-                        score += tables[:, codes[:, m]]
-                    score /= np.maximum(g["norm"].to_numpy(), 1e-9)
-                    keys = np.broadcast_to(g["class_key"].to_numpy(), score.shape)
                     if name in best:
-                        keys, score = np.concatenate([best[name][0], keys], 1), np.concatenate([best[name][1], score], 1)
-                    if score.shape[1] > rerank:
-                        top = np.argpartition(-score, rerank, axis=1)[:, :rerank]
-                        keys, score = np.take_along_axis(keys, top, 1), np.take_along_axis(score, top, 1)
-                    best[name] = (keys, score)
-            for name, (keys, score) in best.items():
-                queries = np.repeat(shared.value[0][name][0], keys.shape[1])
-                yield pd.DataFrame({"field": name, "query": queries, "class_key": keys.ravel(), "score": score.ravel()})
-
-        one = coded.mapInPandas(scan, "field string, query long, class_key long, score float")
-        order = W.partitionBy("field", "query").orderBy(F.desc("score"), "class_key")
-        one = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank).select("field", "query", "class_key")
+                        keys = g["class_key"].to_numpy()
+                        for at in range(0, len(g), TILE):
+                            best[name].add(keys[at : at + TILE], _unit(_stack(g["vector"].iloc[at : at + TILE])))
+            for name, b in best.items():
+                query, key, value = b.held
+                yield pd.DataFrame({"field": name, "a": b.keys[query], "b": key, "score": value})
+
+        one = classes.select("field", "class_key", "vector").mapInPandas(scan, "field string, a long, b long, score float")
+        # The k-th best of all tasks; whatever may be as good stays.
+        order = W.partitionBy("field", "a").orderBy(F.desc("score"), "b")
+        one = one.withColumn("n", F.row_number().over(order))
+        last = F.min(F.when(F.col("n") <= k, F.col("score"))).over(W.partitionBy("field", "a"))
+        one = one.withColumn("last", last).where(F.col("score") >= F.col("last") - F.lit(SLACK)).select("field", "a", "b")
         one = cut_lineage(one) if blocks > 1 else one
         scored = one if scored is None else scored.unionByName(one)
-    pairs = scored.select("field", F.col("query").alias("a"), F.col("class_key").alias("b"))
-    pairs = pairs.where("a != b")
+    pairs = scored
     left = asked.select("field", F.col("class_key").alias("a"), F.col("vector").alias("x"))
     right = classes.select("field", F.col("class_key").alias("b"), F.col("vector").alias("y"))
 

@@ -66,6 +66,20 @@ def test_queries_reach_the_recall(spark):
     assert hits >= 0.9 * 10 * len(truth)
 
 
+def test_queries_are_exact_on_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((12_000, 64)).astype(np.float32)
+    v[::2] = v[0] + 0.02 * rng.standard_normal((6_000, 64)).astype(np.float32)  # closer than codes can tell
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<float>").repartition(3)
+    out = N.query_neighbours(df, "chunk_id", ["vector"], F.col("chunk_id").isin([*range(0, 12_000, 801)])).collect()
+    x = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    expected = set()
+    for i in range(0, 12_000, 801):
+        order = [int(o) for o in np.argsort(-(x @ x[i]), kind="stable") if o != i][:10]
+        expected |= {(i, o, n + 1) for n, o in enumerate(order)}
+    assert {(r.id, r.other, r["rank"]) for r in out} == expected
+
+
 def test_empty(spark):
     df, _ = table(spark)
     assert N.similar_vectors(df.limit(0), "chunk_id", ["vector"]).count() == 0
