@@ -3,7 +3,8 @@
 A vector is written as a sum of codewords from full-dimensional codebooks; codes are chosen by beam search over the
 codebooks' residuals, and the norm of the sum is stored. The first two codes name a cell. Each vector looks into the
 cells whose partial sums score best against it and scores the codes it finds there from lookup tables. Candidates whose
-score, given the error of the codes, may reach the wanted cosine are reranked with the exact vectors.
+score, given the error of the codes, may reach the wanted cosine are reranked with the exact vectors; where these are
+many, the exact vectors of the whole block are compared.
 
 The codebooks are fitted on a bounded sample; every vector is indexed and is a query.
 """
@@ -32,12 +33,14 @@ WORDS, BOOKS = 256, 8
 BEAM = 3
 #: Rounds of encoding the sample and fitting all codewords anew.
 REFITS = 1
-#: Vectors that a cell should hold on average, and cells that a query looks into.
+#: Vectors that a cell should hold on average, and cells that a query looks into if there are 4,096 or fewer (see ``probes_of``).
 CELL, PROBES = 48, 16
 #: Members of a cell that one task compares with the queries; a fuller cell is cut into blocks.
 BLOCK = 4096
-#: Best candidates that a query keeps from a block of a cell, by approximate score.
+#: Candidates of a query in a block of a cell beyond which it is compared with the block's exact vectors instead.
 KEEP = 64
+#: Products of unit vectors in single precision are off by less; what lies so close behind the k-th best is kept.
+SLACK = 2e-5
 
 
 @dataclass
@@ -141,6 +144,12 @@ def fit(sample: np.ndarray, total: int, min_cosine: float, seed: int = 11) -> Co
     return books
 
 
+def probes_of(books: Codebooks, probes: int = PROBES) -> int:
+    """Cells to look into: more where there are more, or the share of partners' cells among them would fall."""
+    cells = len(books.words[0]) * len(books.words[1])
+    return round(probes * max(1.0, cells / 4096) ** (1 / 6))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
@@ -195,14 +204,15 @@ def encode_classes(classes: DataFrame, books: dict[str, Codebooks], probes: int
         for batch in batches:
             for name, group in batch.groupby("field", sort=False):
                 b = shared.value[name]
+                looked = probes_of(b, probes)
                 for at in range(0, len(group), 1024):
                     part = group.iloc[at : at + 1024]
                     x = _unit(_stack(part["vector"]))
                     codes = b.encode(x)[:, 0]
-                    ways = b.cells(b.encode(x, probes, 2))
+                    ways = b.cells(b.encode(x, looked, 2))
                     norms = np.linalg.norm(b.decode(codes), axis=1)
                     own = b.cells(codes)
-                    cells = [[int(o), *(int(c) for c in w if c != o)][:probes] for o, w in zip(own, ways)]
+                    cells = [[int(o), *(int(c) for c in w if c != o)][:looked] for o, w in zip(own, ways)]
                     yield pd.DataFrame(
                         {
                             "field": name,
@@ -216,8 +226,13 @@ def encode_classes(classes: DataFrame, books: dict[str, Codebooks], probes: int
     return classes.select("field", "class_key", "vector").mapInPandas(encode, CODED)
 
 
-def _cell_candidates(coded: DataFrame, books: dict[str, Codebooks], keep: int, block: int) -> DataFrame:
-    """field, a, b: pairs of classes of which one found the other in a cell with a score at the threshold or above."""
+def _cell_candidates(
+    coded: DataFrame, classes: DataFrame, books: dict[str, Codebooks], keep: int, block: int, k: int, min_cosine: float
+) -> DataFrame:
+    """a, b: pairs of classes of which one found the other in a cell with a score at the threshold or above.
+
+    Where a query finds more than ``keep`` in a block, codes can't rank them: ``_dense_pairs`` compares the vectors.
+    """
     own = F.element_at("cells", 1)
     sizes = coded.groupBy("field", own.alias("cell")).agg(F.count("*").alias("size"))
     blocks = sizes.select("field", "cell", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
@@ -250,30 +265,70 @@ def _cell_candidates(coded: DataFrame, books: dict[str, Codebooks], keep: int, b
                 elif (name, cell, part) == place:
                     for at in range(0, len(g), 1024):
                         q = slice(at, at + 1024)
-                        out.append(score(shared.value[name], own_keys[q], own_codes[q], own_norms[q], keys, codes, norms))
+                        pairs, many = score(shared.value[name], own_keys[q], own_codes[q], own_norms[q], keys, codes, norms)
+                        out.append(pd.DataFrame({"field": name, "a": pairs[:, 0], "b": pairs[:, 1], "cell": -1, "block": -1}))
+                        out.append(pd.DataFrame({"field": name, "a": many, "b": 0, "cell": cell, "block": part}))
             if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                yield pd.concat(out).drop_duplicates()
 
-    def score(b: Codebooks, q_keys, q_codes, q_norms, keys, codes, norms) -> np.ndarray:
-        """Pairs (smaller key, larger key) from lookup tables: a table holds a query's products with all codewords."""
+    def score(b: Codebooks, q_keys, q_codes, q_norms, keys, codes, norms) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (smaller key, larger key) from lookup tables, which hold a query's products with all codewords; then
+        the queries with more than ``keep`` candidates, whose pairs are left out."""
         tables = b.decode(q_codes) @ b.all.T
         products = np.zeros((len(q_keys), len(keys)), np.float32)
         for m in range(codes.shape[1]):
             products += tables[:, codes[:, m]]
         cosine = products / np.maximum(q_norms[:, None] * norms[None, :], 1e-9)
         good = (cosine >= b.threshold) & (q_keys[:, None] != keys[None, :])
-        if len(keys) > keep:
-            full = good.sum(1) > keep
-            if full.any():
-                least = np.partition(cosine[full], -keep - 1, axis=1)[:, -keep - 1]
-                good[full] &= cosine[full] >= least[:, None]
+        full = good.sum(1) > keep
+        good[full] = False
         i, j = np.nonzero(good)
-        return np.stack([np.minimum(q_keys[i], keys[j]), np.maximum(q_keys[i], keys[j])], axis=1).astype(np.int64)
+        return np.stack([np.minimum(q_keys[i], keys[j]), np.maximum(q_keys[i], keys[j])], axis=1).astype(np.int64), q_keys[full]
 
     # Class keys are hashes of vectors; the same key in two fields stands for equal vectors, so a pair found in one
     # field is tried in both by the exact step.
-    return both.mapInPandas(scan, "a long, b long").distinct()
+    found = cut_lineage(both.mapInPandas(scan, "field string, a long, b long, cell int, block int"))
+    many = found.where("cell >= 0").select("field", "cell", "block", F.col("a").alias("class_key"))
+    inside = members.select("field", "cell", "block", "class_key").join(many.select("field", "cell", "block").distinct(), ["field", "cell", "block"], "left_semi")
+    dense = _dense_pairs(inside, many, classes, k, min_cosine)
+    return found.where("cell < 0").select("a", "b").unionByName(dense).distinct()
+
+
+def _dense_pairs(members: DataFrame, queries: DataFrame, classes: DataFrame, k: int, min_cosine: float) -> DataFrame:
+    """a, b: pairs of a query and a member of its block (field, cell, block, class_key) that, by exact vectors, reach
+    ``min_cosine`` and are among the ``k`` best of the query in the block or of the member in a tile of queries.
+
+    Whatever is left out has ``k`` better partners on both sides; ties are kept.
+    """
+    place = ["field", "cell", "block"]
+    both = members.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1))).join(classes, ["field", "class_key"])
+    both = both.select(*place, "role", "class_key", "vector").repartition(*place).sortWithinPartitions(*place, "role")
+
+    def best(cosine: np.ndarray) -> np.ndarray:
+        if cosine.shape[1] <= k:
+            return np.ones(cosine.shape, bool)
+        return cosine >= np.partition(cosine, -k, axis=1)[:, -k, None] - SLACK
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, keys, vectors = None, None, None
+        for batch in batches:
+            same = (batch[[*place, "role"]] != batch[[*place, "role"]].shift()).any(axis=1).cumsum()
+            for _, g in batch.groupby(same.to_numpy(), sort=False):
+                here, own_keys, own = tuple(g[place].iloc[0]), g["class_key"].to_numpy(), _unit(_stack(g["vector"]))
+                if g["role"].iloc[0] == 0:
+                    if here == at:
+                        keys, vectors = np.append(keys, own_keys), np.append(vectors, own, 0)
+                    else:
+                        at, keys, vectors = here, own_keys, own
+                elif here == at:
+                    for n in range(0, len(g), 1024):
+                        q = own_keys[n : n + 1024]
+                        cosine = own[n : n + 1024] @ vectors.T
+                        cosine[q[:, None] == keys[None, :]] = -2
+                        i, j = np.nonzero((cosine >= min_cosine - SLACK) & (best(cosine) | best(cosine.T).T))
+                        yield pd.DataFrame({"a": np.minimum(q[i], keys[j]), "b": np.maximum(q[i], keys[j])})
+
+    return both.mapInPandas(scan, "a long, b long")
 
 
 def _exact(pairs: DataFrame, classes: DataFrame, min_cosine: float) -> DataFrame:
@@ -346,7 +401,7 @@ def similar_vectors(
     classes = cut_lineage(classes)
     books = fit_fields(classes, fields, min_cosine, sample)
     coded = cut_lineage(encode_classes(classes, books, probes))
-    candidates = _cell_candidates(coded, books, keep, block)
+    candidates = _cell_candidates(coded, classes, books, keep, block, k, min_cosine)
     links = cut_lineage(_exact(candidates, classes, min_cosine))
     return neighbour_lists(members, links, k)
 
@@ -358,8 +413,6 @@ def neighbour_pairs(lists: DataFrame) -> DataFrame:
 
 #: Queries that are held against all rows in one pass, and rows and queries of one product of matrices.
 QUERY_BLOCK, TILE = 16_384, 2048
-#: Products of unit vectors in single precision are off by less; what lies so close behind the k-th best is kept.
-SLACK = 2e-5
 
 
 class _Best:

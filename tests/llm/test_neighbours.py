@@ -53,6 +53,37 @@ def test_pairs_match_brute_force(spark, block):
     assert all(sorted(x) == list(range(1, len(x) + 1)) and len(x) <= 10 for x in ranks.values())
 
 
+def dense(n, groups, seed=3):
+    """Groups of different vectors at cosines of 0.9 and more, which fill a cell or two each, among unrelated ones."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, 64))
+    for g in range(groups):
+        v[g::20] = rng.standard_normal(64) + 0.2 * rng.standard_normal(v[g::20].shape)
+    return v.astype(np.float32)
+
+
+def dense_recall(spark, n, groups):
+    v = dense(n, groups)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<float>").repartition(4)
+    got = {(r.id_a, r.id_b) for r in N.neighbour_pairs(N.similar_vectors(df, "chunk_id", ["vector"])).collect()}
+    x = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2)
+    near = np.argpartition(-cosine, 10, axis=1)[:, :10]
+    expected = {(min(i, int(o)), max(i, int(o))) for i in range(n) for o in near[i] if cosine[i, o] >= 0.9}
+    return len(got & expected) / len(expected), len(got & expected) / len(got), len(expected)
+
+
+def test_dense_groups_keep_their_best_partners(spark):
+    recall, precision, count = dense_recall(spark, 8_000, 4)
+    assert count > 5_000 and recall >= 0.98 and precision >= 0.98
+
+
+def test_probes_grow_with_the_cells():
+    books = lambda n: N.Codebooks([np.zeros((n, 64), np.float32)] * 2)
+    assert [N.probes_of(books(n)) for n in (4, 64, 256, 512)] == [16, 16, 25, 32]
+
+
 def test_queries_reach_the_recall(spark):
     df, rows = table(spark)
     out = N.query_neighbours(df, "chunk_id", ["vector"], F.col("chunk_id") % 20 == 0, query_block=16).collect()
