@@ -224,37 +224,43 @@ def file_signs(chunks: DataFrame) -> DataFrame:
     return map_files(chunks, one, SIGNS)
 
 
-def containment(signs: DataFrame, rare: int = RARE) -> DataFrame:
-    """For each file with a hint of a foreign origin: file_path, language, and the largest share of its rare lines in one
-    file of another repository (contained), with that file (origin_path).
+def containment(signs: DataFrame, rare: int = RARE, every: bool = True) -> DataFrame:
+    """For each file (with ``every`` false, each with a hint of a foreign origin): file_path, language, and the largest
+    share of its rare lines in one file of another repository (contained), with that file (origin_path), if it is at
+    least CONTAINED.
 
     A line is rare if it occurs in at most ``rare`` different texts; equal texts count once, so that many copies of a
     file don't make its lines common. Lines that more texts share are boilerplate and count neither for nor against.
-    The index holds one row for each rare line and text; lines of files without a hint are only looked up.
+    If less than half of a text's lines are rare, as in a library that many repositories hold with small edits, the share
+    is of all its lines: a file that holds CONTAINED of them holds one of the rarest few (``_common_share``).
+    The index holds one row for each rare line and text; lines of files that aren't asked for are only looked up.
     """
+    wanted = signs if every else signs.where("vendor_hint")
     texts = signs.groupBy("text_hash").agg(F.first("line_hashes").alias("line_hashes"))
     lines = texts.select("text_hash", F.explode("line_hashes").alias("line"))
     # df with a partial step; only lines that some text shares and that are rare stay in the index.
     shared = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts").between(2, rare)).select("line")
     index = lines.join(shared, "line")
-    hinted = signs.where("vendor_hint").select("text_hash").distinct()
-    # A rare line of the hinted file that nobody shares still counts in the size.
-    alone = lines.join(hinted, "text_hash", "left_semi").join(
-        lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") <= rare).select("line"), "line"
-    )
-    size = alone.groupBy("text_hash").agg(F.count("*").alias("size"))
-    a = index.join(hinted, "text_hash", "left_semi").select("line", F.col("text_hash").alias("a"))
+    asked = wanted.select("text_hash").distinct()
+    # A rare line of the file that nobody shares still counts in the size.
+    counted = lines.join(asked, "text_hash", "left_semi").join(lines.groupBy("line").agg(F.count("*").alias("texts")), "line")
+    size = counted.groupBy("text_hash").agg(F.count_if(F.col("texts") <= rare).alias("size"), F.count("*").alias("lines"))
+    size = cut_lineage(size)
+    common_lined = size.where(2 * F.col("size") < F.col("lines")).select("text_hash", "lines")
+    size = size.where(2 * F.col("size") >= F.col("lines")).select("text_hash", "size")
+    a = index.join(size.select("text_hash"), "text_hash", "left_semi").select("line", F.col("text_hash").alias("a"))
     b = index.select("line", F.col("text_hash").alias("b"))
     common = a.join(b, "line").where("a != b").groupBy("a", "b").agg(F.count("*").alias("common"))
     share = common.join(size, common["a"] == size["text_hash"]).select("a", "b", (F.col("common") / F.col("size")).alias("share"))
     share = share.where(F.col("share") >= CONTAINED)
-    itself = signs.where(F.col("vendor_hint") & (F.size("line_hashes") > 0)).select("text_hash").distinct()  # equal texts elsewhere
+    share = share.unionByName(_common_share(counted, lines, common_lined))
+    itself = wanted.where(F.size("line_hashes") > 0).select("text_hash").distinct()  # equal texts elsewhere
     share = share.unionByName(itself.select(F.col("text_hash").alias("a"), F.col("text_hash").alias("b"), F.lit(1.0).alias("share")))
     # Copies of a text: for the other side, the first path of up to two repositories is enough to find a foreign one.
     homes = signs.groupBy("text_hash", "repo").agg(F.min("file_path").alias("home_path"))
     homes = homes.withColumn("_n", F.row_number().over(W.partitionBy("text_hash").orderBy(F.col("repo").asc_nulls_last()))).where("_n <= 2")
     found = (
-        signs.where("vendor_hint").select("file_path", "language", F.col("repo").alias("own"), F.col("text_hash").alias("a"))
+        wanted.select("file_path", "language", F.col("repo").alias("own"), F.col("text_hash").alias("a"))
         .join(share, "a")
         .join(homes.select(F.col("text_hash").alias("b"), "repo", "home_path"), "b")
         .where(~F.col("own").eqNullSafe(F.col("repo")))
@@ -264,16 +270,33 @@ def containment(signs: DataFrame, rare: int = RARE) -> DataFrame:
     )
 
 
-def classify_files(chunks: DataFrame) -> DataFrame:
+def _common_share(counted: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, share of a's lines (all of them) in b, if at least CONTAINED, for ``texts`` (text_hash, lines).
+
+    Exact: b lacks at most a fifth of a's lines, so it has one of any greater number of them; the rarest are looked up.
+    """
+    own = cut_lineage(counted.join(texts, "text_hash"))
+    rarest = W.partitionBy("text_hash").orderBy("texts", "line")
+    few = own.withColumn("n", F.row_number().over(rarest)).where(F.col("n") <= F.floor(F.col("lines") * (1 - CONTAINED) + 1e-9) + 1)
+    pairs = few.select("line", F.col("text_hash").alias("a")).join(lines.select("line", F.col("text_hash").alias("b")), "line")
+    pairs = pairs.where("a != b").select("a", "b").distinct()
+    both = own.select(F.col("text_hash").alias("a"), "lines", "line").join(pairs, "a")
+    both = both.join(lines.select(F.col("text_hash").alias("b"), "line"), ["b", "line"])
+    share = both.groupBy("a", "b").agg((F.count("*") / F.max("lines")).alias("share"))
+    return share.where(F.col("share") >= CONTAINED)
+
+
+def classify_files(chunks: DataFrame, every: bool = True) -> DataFrame:
     """Every file with its kind: generated, minified, vendored, data, or hand (written in its own repository).
 
     Columns: file_path, language, repo, kind, reason, contained, origin_path. The first that holds decides: an origin
     told by directory or notice (vendored), a generator told by note, path or content, squeezed code, data; then hints
-    of an origin that the index of rare lines confirms. What makes up a file, and nulls and repeated rows: see
+    of an origin that the index of rare lines confirms. Contained and origin_path are told of every file, whatever its
+    kind; with ``every`` false only of those with a hint, which changes no kind. What makes up a file, and nulls and repeated rows: see
     ``map_files``; an empty text is hand.
     """
     signs = cut_lineage(file_signs(chunks))
-    confirmed = containment(signs)
+    confirmed = containment(signs, every=every)
     rules = [
         ("vendored", "directory", F.col("vendored_path")),
         ("generated", "note", F.col("generated_note")),
@@ -283,7 +306,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
         ("vendored", "notice", F.col("origin_note")),
         ("data", "content", F.col("data_look")),
         ("generated", "content", F.col("generated_look")),
-        ("vendored", "contained", F.coalesce(F.col("contained") >= CONTAINED, F.lit(False))),
+        ("vendored", "contained", F.col("vendor_hint") & F.coalesce(F.col("contained") >= CONTAINED, F.lit(False))),
     ]
     kind = reason = None
     for k, r, holds in rules:

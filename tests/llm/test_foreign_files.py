@@ -56,3 +56,20 @@ def test_classify(spark):
         "e/src/app.min.js": ("minified", "path"), "f/empty.py": ("hand", None), "g/n.py": ("vendored", "notice"),
     }
     assert G.classify_files(df.limit(0)).count() == 0
+
+
+def test_containment_of_unhinted_and_of_widespread_files(spark):
+    body = [f"value_{i} = compute_something({', '.join(['i'] * (i + 1))})" for i in range(30)]
+    rows = [("0", "r0", "r0/src/unhinted.py", "python", "\n".join(f"other_{x}" for x in body), 0, 30, None)]
+    rows += [("1", "r1", "r1/src/copy.py", "python", rows[0][4].replace("other_value_3 =", "changed ="), 0, 30, None)]
+    for n in range(60):  # every version is edited, so none of the lines they share is rare
+        path = f"v{n}/vendors/lib.py" if n % 2 else f"v{n}/src/lib.py"
+        rows.append((f"v{n}", f"v{n}", path, "python", "\n".join([*body, f"edited_in_{n} = True"]), 0, 31, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.file_path: r for r in G.classify_files(df).collect()}
+    assert got["r1/src/copy.py"].kind == "hand" and got["r1/src/copy.py"].origin_path == "r0/src/unhinted.py"
+    assert got["r1/src/copy.py"].contained == pytest.approx(29 / 30)
+    assert all(got[p].contained == pytest.approx(30 / 31) for p in got if p.endswith("lib.py"))
+    assert all((got[p].kind == "vendored") == ("vendors" in p) for p in got)
+    hinted = {r.file_path: r.kind for r in G.classify_files(df, every=False).collect()}
+    assert hinted == {p: r.kind for p, r in got.items()}
