@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from lodeseek.llm.file_text import map_files
 from lodeseek.sources.tables import cut_lineage
 
-#: Lines of a file at its head within which a notice speaks for the whole file.
-HEAD_LINES = 12
 #: A line is rare if at most so many different texts hold it.
 RARE = 50
 #: Share of a file's rare lines that one file of another repository must hold to confirm a hint.
@@ -71,7 +69,7 @@ _BLOCK_OPEN = {"/*": "*/", "{-": "-}", '"""': '"""', "'''": "'''", "=begin": "=e
 
 
 def head_comments(text: str, language: str | None) -> tuple[list[str], list[str]]:
-    """(file comments, doc comments) at the head: the lines before the first code within the first lines.
+    """(file comments, doc comments) at the head: all lines before the first code.
 
     A doc comment belongs to the definition below it, not to the file, unless a blank line parts them.
     """
@@ -84,7 +82,7 @@ def head_comments(text: str, language: str | None) -> tuple[list[str], list[str]
         (docs if doc and attached else own).extend(block)
         block.clear()
 
-    for line in lines[: 4 * HEAD_LINES]:
+    for line in lines:
         stripped = line.strip()
         if close:
             block.append(stripped)
@@ -106,7 +104,7 @@ def head_comments(text: str, language: str | None) -> tuple[list[str], list[str]
                     close = end
                 break
     flush(True)
-    return own[: 2 * HEAD_LINES], docs[: 2 * HEAD_LINES]
+    return own, docs
 
 
 def _same_project(origin: str, repo: str | None, path: str) -> bool:

@@ -24,6 +24,13 @@ def test_notes(text, generated, origin):
     assert (said["generated_note"], said["origin_note"]) == (generated, origin)
 
 
+def test_notes_behind_a_long_licence():
+    licence = "".join(f"// Licence text, line {i}.\n" for i in range(60))
+    for note, key in (("// Code generated by protoc. DO NOT EDIT.", "generated_note"), ("// Vendored from widget 1.2.3", "origin_note")):
+        assert G.notes(f"{licence}{note}\npackage a", "go", "my-repo", "my-repo/src/a.go")[key]
+        assert not G.notes(f"{licence}package a\n{note}", "go", "my-repo", "my-repo/src/a.go")[key]
+
+
 def test_composition():
     table = "var x = []int{\n" + "    1, 2, 3, 44, 55, 66,\n" * 40 + "}"
     blob = "x = '''" + "Ab3/" * 400 + "'''"
