@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.file_text import map_files
 
-#: Nesting that a grammar may follow; deeper texts count as broken.
-MAX_DEPTH = 20_000
+#: Frames that a grammar may need for a character of text, so that no nesting is too deep. Calls from Python to Python lie
+#: on the heap: about 3 KB for each open bracket, used only while it is open.
+FRAMES = 30
 
 ERRORS = (
     "file_path string, language string, repo string, n_lines int, n_errors int, first_line int, first_cause string, "
@@ -25,19 +26,19 @@ def syntax_errors(language: str, text: str) -> list[tuple[int, str]] | None:
     check = CHECKERS.get(language)
     if check is None:
         return None
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), MAX_DEPTH))
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(min(before + FRAMES * len(text), 2**31 - 1))
     try:
         return check(text)
-    except RecursionError:
-        return [(0, "nested too deeply")]
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def check_files(chunks: DataFrame) -> DataFrame:
     """Every file of ``chunks`` with its syntax errors.
 
     Columns: file_path, language, repo, n_lines, n_errors (null without a grammar for the language), first_line (0-based,
-    counted in the file's joined rows) and first_cause of the first error, and all errors kept (up to 50) as error_lines
-    and error_causes. An empty text has no errors. How rows make up a file, and what becomes of nulls and repeated
+    counted in the file's joined rows) and first_cause of the first error, and all errors as error_lines and error_causes. An empty text has no errors. How rows make up a file, and what becomes of nulls and repeated
     rows, is told in ``map_files``.
     """
 

@@ -26,6 +26,14 @@ def p1_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_files.acceptance(cut_lineage(broken_files.check_files(read_table(spark, sf_dir, "chunks"))))
 
 
+def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error of every broken file: line (0-based) and cause, numbered in order."""
+    broken = broken_files.broken_files(broken_files.check_files(read_table(spark, sf_dir, "chunks")))
+    return broken.select("file_path", "language", F.posexplode(F.arrays_zip("error_lines", "error_causes")).alias("no", "e")).select(
+        "file_path", "language", "no", F.col("e.error_lines").alias("line"), F.col("e.error_causes").alias("cause")
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = foreign_files.classify_files(read_table(spark, sf_dir, "chunks"), every=False)
     return files.where("kind != 'hand'").select("file_path").distinct()

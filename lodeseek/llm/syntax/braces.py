@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 from lodeseek.llm.syntax.core import (
-    CLOSE, END, MAX_ERRORS, TokenClasses, Unexpected, conflict_lines, located, match_brackets, operators_regex,
+    CLOSE, END, TokenClasses, Unexpected, conflict_lines, located, match_brackets, operators_regex,
 )
 
 LANGUAGES = ("rust", "java", "csharp", "go", "javascript", "typescript", "tsx", "kotlin", "scala")
@@ -157,7 +157,7 @@ def checker(language: str) -> Callable[[str], list[tuple[int, str]]]:
         marks = conflict_lines(text)
         if marks:
             found += _real_conflicts(lex, text, marks)
-        return sorted(found)[:MAX_ERRORS]
+        return sorted(found)
 
     return check
 
@@ -974,7 +974,7 @@ def _parse(language: str, k: list[str], match: dict[int, int]) -> list[tuple[int
         try:
             return one(i)
         except Unexpected as e:
-            if e.at >= n or len(errors) >= MAX_ERRORS or not inside and k[i] == END:
+            if e.at >= n or not inside and k[i] == END:
                 raise
             errors.append((e.at, e.message))
             no_brace[0] = False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 
 class Unexpected(Exception):
@@ -13,9 +14,6 @@ class Unexpected(Exception):
         self.message = message
 
 
-#: Errors kept for a text; recovery goes on behind them, but a text that isn't code would fill a list of its own size.
-MAX_ERRORS = 50
-
 OPEN = {"(": ")", "[": "]", "{": "}"}
 CLOSE = {")", "]", "}"}
 END = "\0"
@@ -93,7 +91,8 @@ def conflict_lines(text: str) -> list[int]:
 def token_lines(lexer: re.Pattern, text: str, wanted: list[int]) -> list[int]:
     """Lines (0-based) of the tokens with these ordinals; one behind the last token is the last line."""
     starts = [m.start(1) for m in lexer.finditer(text) if m.group(1)]
-    return [text.count("\n", 0, starts[at]) if at < len(starts) else text.count("\n") for at in wanted]
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return [bisect_left(ends, starts[at]) if at < len(starts) else len(ends) for at in wanted]
 
 
 def located(lexer: re.Pattern, text: str, errors: list[tuple[int, str]]) -> list[tuple[int, str]]:

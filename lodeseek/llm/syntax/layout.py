@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from lodeseek.llm.syntax.core import CLOSE, END, MAX_ERRORS, OPEN, TokenClasses, Unexpected, conflict_lines, operators_regex
+from lodeseek.llm.syntax.core import CLOSE, END, OPEN, TokenClasses, Unexpected, conflict_lines, operators_regex
 
 _STRING = r'"(?:[^"\\]|\\[\s\S])*"'
 _CHAR = r"'(?:[^'\\\n]|\\[^'\n]+|\\')'"
@@ -171,7 +171,7 @@ class _Offside:
                     i = self.item(i, item)
                 except Unexpected as e:
                     del self.limit[depth:]
-                    if len(self.errors) >= MAX_ERRORS or self.k[e.at] == END:
+                    if self.k[e.at] == END:
                         raise
                     self.errors.append((e.at, e.message))
                     i = max(e.at, i + 1)
@@ -223,7 +223,7 @@ class _Offside:
             except Unexpected as e:
                 self.errors.append((e.at, e.message))
                 self.limit = [-1]
-                if self.k[e.at] == END or len(self.errors) >= MAX_ERRORS:
+                if self.k[e.at] == END:
                     break
                 i = max(i, e.at)
                 while not (self.first[i] and self.column[i] <= 0 and i > e.at):
@@ -541,7 +541,7 @@ def check_haskell(text: str) -> list[tuple[int, str]]:
 
     errors = p.run(top)
     found = [(tokens.line[min(at, len(tokens.line) - 1)], message) for at, message in errors]
-    return sorted(found + _conflicts(tokens, text))[:MAX_ERRORS]
+    return sorted(found + _conflicts(tokens, text))
 
 
 _FSHARP_LEVELS = [
@@ -1014,4 +1014,4 @@ def check_fsharp(text: str) -> list[tuple[int, str]]:
 
     errors = p.run(top)
     found = [(tokens.line[min(at, len(tokens.line) - 1)], message) for at, message in errors]
-    return sorted(found + _conflicts(tokens, text))[:MAX_ERRORS]
+    return sorted(found + _conflicts(tokens, text))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 from lodeseek.llm.syntax.core import (
-    CLOSE, END, MAX_ERRORS, OPEN, TokenClasses, Unexpected, conflict_lines, located, operators_regex,
+    CLOSE, END, OPEN, TokenClasses, Unexpected, conflict_lines, located, operators_regex,
 )
 
 _KEYWORDS = set(
@@ -101,7 +101,7 @@ def check(text: str) -> list[tuple[int, str]]:
         wanted = set(marks)
         ends = {m.end(1) for m in _LEX.finditer(text) if (m.group(1) or " ")[0] == "\n"} | {0}
         found += [(n, "conflict mark") for s, n in starts.items() if n in wanted and s in ends]
-    return sorted(found)[:MAX_ERRORS]
+    return sorted(found)
 
 
 def _parse(k: list[str]) -> list[tuple[int, str]]:
@@ -472,8 +472,6 @@ def _parse(k: list[str]) -> list[tuple[int, str]]:
         try:
             return statement(i)
         except Unexpected as e:
-            if len(errors) >= MAX_ERRORS:
-                raise
             errors.append((e.at, e.message))
             return recover(max(i, e.at)) if k[e.at] != OUT and k[e.at] != IN else max(e.at, i) + (k[e.at] == IN or e.at == i)
 

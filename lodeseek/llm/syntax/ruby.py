@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 from lodeseek.llm.syntax.core import (
-    CLOSE, END, MAX_ERRORS, TokenClasses, Unexpected, conflict_lines, located, match_brackets, operators_regex,
+    CLOSE, END, TokenClasses, Unexpected, conflict_lines, located, match_brackets, operators_regex,
 )
 
 _KEYWORDS = set(
@@ -71,7 +71,7 @@ def check(text: str) -> list[tuple[int, str]]:
             if n in marks and at in starts:
                 found.append((n, "conflict mark"))
             at += len(line) + 1
-    return sorted(found)[:MAX_ERRORS]
+    return sorted(found)
 
 
 def _parse(k: list[str], match: dict[int, int]) -> list[tuple[int, str]]:
@@ -441,7 +441,7 @@ def _parse(k: list[str], match: dict[int, int]) -> list[tuple[int, str]]:
         try:
             return statement(i)
         except Unexpected as e:
-            if e.at >= n or len(errors) >= MAX_ERRORS:
+            if e.at >= n:
                 raise
             errors.append((e.at, e.message))
             no_do[0] = False
@@ -459,6 +459,6 @@ def _parse(k: list[str], match: dict[int, int]) -> list[tuple[int, str]]:
             i = guarded(i)
         except Unexpected as e:
             errors.append((e.at, e.message))
-            if e.at >= n or len(errors) >= MAX_ERRORS:
+            if e.at >= n:
                 return errors
             i = recover(max(i, e.at))

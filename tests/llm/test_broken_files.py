@@ -95,3 +95,24 @@ def test_long_odd_texts_take_time_in_proportion(text):
     for language in CHECKERS:
         B.syntax_errors(language, text)
     assert time.process_time() - began < 60
+
+
+NESTED = {
+    "python": "x = {}\n", "ruby": "x = {}\n", "haskell": "f x = {}\n", "fsharp": "let f = {}\n", "java": "class A {{ int x = {}; }}\n",
+    "csharp": "class A {{ int x = {}; }}\n", "go": "package p\n\nvar x = {}\n", "rust": "fn f() {{ let x = {}; }}\n", "kotlin": "val x = {}\n",
+    "scala": "object A {{ val x = {} }}\n",
+}
+
+
+@pytest.mark.parametrize("language", sorted(CHECKERS))
+def test_no_nesting_is_too_deep(language):
+    text = NESTED.get(language, "const x = {};\n").format("(" * 6000 + "1" + ")" * 6000)
+    assert B.syntax_errors(language, text) == []
+    assert B.syntax_errors(language, text.replace(")", "", 1))
+
+
+def test_all_errors_are_kept():
+    assert len(B.syntax_errors("java", "class A {\n" + "  int a = ;\n  int b = 1;\n" * 200 + "}\n")) == 200
+    assert [line for line, _ in B.syntax_errors("python", "x = )\n" * 200)] == list(range(200))
+    assert len(B.syntax_errors("ruby", "x = )\n" * 200)) >= 200
+    assert len(B.syntax_errors("haskell", "f x = )\n" * 200)) >= 200
