@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.file_text import map_files
-
-#: Frames that a grammar may need for a character of text, so that no nesting is too deep. Calls from Python to Python lie
-#: on the heap: about 3 KB for each open bracket, used only while it is open.
-FRAMES = 30
+from lodeseek.llm.nesting import room_for
 
 ERRORS = (
     "file_path string, language string, repo string, n_lines int, n_errors int, first_line int, first_cause string, "
@@ -26,12 +21,8 @@ def syntax_errors(language: str, text: str) -> list[tuple[int, str]] | None:
     check = CHECKERS.get(language)
     if check is None:
         return None
-    before = sys.getrecursionlimit()
-    sys.setrecursionlimit(min(before + FRAMES * len(text), 2**31 - 1))
-    try:
+    with room_for(text):
         return check(text)
-    finally:
-        sys.setrecursionlimit(before)
 
 
 def check_files(chunks: DataFrame) -> DataFrame:

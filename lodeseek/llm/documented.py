@@ -1,21 +1,19 @@
 """Problem 5: functions and methods paired with their documentation, by packrat grammars for each language.
 
-A grammar knows comments, strings, brackets or indentation, and the heads of functions and types; its actions emit each
-function with the documentation that the reference's rules give it and the offsets in the source. Whether the
-documentation says something is decided afterwards.
+The grammars (``grammars``) emit each function with its offsets and the documentation that the reference's rules give it.
+Whether the documentation says something is decided here.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.peg import Parser, Rule, State, action, choice, many, optional, seq, token, unless
+from lodeseek.llm.grammars import functions_in
 
 # -- informative documentation --------------------------------------------------------------------------------------
 
@@ -70,280 +68,6 @@ def informative(doc: str | None, name: str, least: int = 4) -> bool:
     return left >= least
 
 
-# -- grammars -------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Found:
-    """A function in a text: its name, its documentation or None, and its offsets."""
-
-    name: str
-    doc: str | None
-    start: int
-    end: int
-
-
-def _strip_block(raw: str) -> str:
-    body = re.sub(r"^/\*+!?|^\{-+ ?\|?|\*+/$|-\}$", "", raw.strip())
-    return "\n".join(re.sub(r"^\s*\*+ ?", "", line) for line in body.split("\n"))
-
-
-def _strip_line(raw: str) -> str:
-    return re.sub(r"^\s*(?:///?!?|#+|--+ ?[|^]?)\s?", "", raw)
-
-
-class _Comments:
-    """The comments directly above a function, as the reference takes them: line by line, an ordinary one cuts off."""
-
-    def __init__(self, doc_mark: str):
-        self.is_doc = re.compile(doc_mark).match
-        self.parts: list[str] = []
-
-    def add(self, raw: str):
-        if self.is_doc(raw):
-            self.parts.append(_strip_block(raw) if raw.startswith(("/*", "{-")) else _strip_line(raw))
-        else:
-            self.parts.clear()
-
-    def take(self) -> str | None:
-        doc = "\n".join(self.parts).strip()
-        self.parts.clear()
-        return doc or None
-
-
-_ATTRIBUTES = r"(?:(?:@[\w.]+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?|#\[[^\]]*\]|\[\w[^\]\n]*\])\s*)*"
-_MODS = (
-    r"(?:(?:public|private|protected|internal|static|final|abstract|override|open|async|export|default|virtual|sealed|"
-    r"suspend|inline|operator|infix|tailrec|external|synchronized|native|strictfp|unsafe|extern|partial|new|readonly|"
-    r"implicit|lazy|const|declare|accessor|get|set|pub(?:\([^)]*\))?|extern\s*\"[^\"]*\")(?=[\s*#\[\"]|\w*\*)\s*)*"
-)
-_TYPE = r"[\w.$?]+(?:\s*<[^(){};=]*>)?(?:\s*\[[\s,]*\])*\??"
-_PARAMS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-
-#: Heads of functions inside types or at the top; the group ``name`` is the function's name.
-_HEADS = {
-    "rust": rf"{_ATTRIBUTES}{_MODS}fn\s+(?P<name>\w+)",
-    "java": rf"{_ATTRIBUTES}{_MODS}(?:<[^(){{}};]*>\s*)?{_TYPE}\s+(?P<name>\w+)\s*{_PARAMS}[^;{{}}=]*(?=[{{;])",
-    "csharp": rf"{_ATTRIBUTES}{_MODS}{_TYPE}\s+(?P<name>\w+)(?:<[^(){{}};]*>)?\s*{_PARAMS}[^;{{}}=]*(?=\{{|;|=>)",
-    "go": r"func\s*(?:\([^)]*\)\s*)?(?P<name>\w+)",
-    "javascript": rf"{_ATTRIBUTES}{_MODS}(?:function\s*\*?\s*|\*\s*)?(?P<name>#?[\w$]+)\s*{_PARAMS}\s*(?=\{{)",
-    "typescript": rf"{_ATTRIBUTES}{_MODS}(?:function\s*\*?\s*|\*\s*)?(?P<name>#?[\w$]+)\??\s*(?:<[^(){{}};]*>)?\s*{_PARAMS}(?:\s*:[^;{{}}=]+?)?\s*(?=\{{|;)",
-    "kotlin": rf"{_ATTRIBUTES}{_MODS}fun\s+(?:<[^>]*>\s*)?(?:[\w<>,? ]+\.)?(?P<name>\w+|`[^`\n]+`)\s*(?=\()",
-    "scala": rf"{_ATTRIBUTES}{_MODS}def\s+(?P<name>[^\s(\[:=]+)",
-    "haskell": r"(?P<name>[a-z_][\w']*)",
-    "fsharp": r"(?:let|member|override|static member|default)\s+(?:rec\s+|inline\s+|private\s+|internal\s+|mutable\s+)*(?:\w+\.)?(?P<name>[\w']+|``[^`\n]+``)",
-}
-_HEADS["tsx"] = _HEADS["typescript"]
-_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|throw|else|do|try|new|await|typeof|case|super|this|when|match|loop|using|lock|foreach|synchronized|yield)\b)"
-_TYPE_HEAD = {
-    "rust": r"(?:impl|trait|mod)\b[^{;]*",
-    "java": rf"{_ATTRIBUTES}{_MODS}(?:class|interface|enum|record|@interface)\s+\w+[^{{;]*",
-    "csharp": rf"{_ATTRIBUTES}{_MODS}(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+\w+[^{{;]*",
-    "javascript": rf"{_ATTRIBUTES}{_MODS}class\b[^{{;]*",
-    "typescript": rf"{_ATTRIBUTES}{_MODS}(?:abstract\s+)?class\b[^{{;]*",
-    "kotlin": rf"{_ATTRIBUTES}{_MODS}(?:(?:enum|annotation|data|inner|fun|companion)\s+)*(?:class|interface|object)\b[^{{\n]*(?:\([^)]*\)[^{{\n]*)?",
-    "scala": rf"{_ATTRIBUTES}{_MODS}(?:case\s+)?(?:class|trait|object|enum)\s+\w+[^{{\n]*(?:\([^)]*\)[^{{\n]*)?",
-    "go": r"(?!)", "haskell": r"(?!)", "fsharp": r"(?!)",
-}
-_TYPE_HEAD["tsx"] = _TYPE_HEAD["typescript"]
-#: What the reference takes for documentation, by the beginning of a comment.
-_DOC_MARK = {
-    "rust": r"///(?!/)|/\*\*(?!/)", "csharp": r"///|/\*\*(?!/)", "fsharp": r"///|/\*\*(?!/)", "java": r"/\*\*(?!/)",
-    "javascript": r"/\*\*(?!/)", "typescript": r"/\*\*(?!/)", "tsx": r"/\*\*(?!/)", "scala": r"/\*\*(?!/)", "kotlin": r"/\*\*(?!/)",
-    "haskell": r"-- ?[|^]|\{- ?\|", "go": r"", "ruby": r"", "python": r"",
-}
-_STRINGS = r"\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[^\n][^'\n]{0,8})'|`(?:[^`\\]|\\[\s\S])*`"
-_JS_STRINGS = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
-
-
-def _brace_grammar(language: str) -> Parser:
-    """text ← item*; item ← gap / comment / type / function / field. Functions in functions stay in their bodies."""
-    javascript = language in ("javascript", "typescript", "tsx")
-    string = token(_JS_STRINGS if javascript else _STRINGS)
-    comment = token(r"//[^\n]*|/\*[\s\S]*?\*/" if language != "haskell" else r"--+[^\n]*|\{-[\s\S]*?-\}")
-    plain = token(r"[^{}()\[\]\"'`/]+|[/'`\"]")
-    block, text = Rule(), Rule()
-    unit = choice(string, comment, block, plain)
-    block.part = choice(
-        seq(token(r"\{"), many(unit), token(r"\}|\Z")), seq(token(r"\("), many(unit), token(r"\)|\Z")), seq(token(r"\["), many(unit), token(r"\]|\Z"))
-    )
-    gap = action(token(r"[ \t\r]*\n(?P<blank>(?:[ \t\r]*\n)+)?|[ \t\r]+|;|,"), lambda m, a, b: ("blank",) if m.group("blank") else ("space",))
-    remark = action(comment, lambda m, a, b: ("comment", m.group()))
-    ended = token(r"[^\n;{}]*;") if language not in ("scala", "kotlin", "rust") else token(r"(?!)")
-    tail = many(choice(string, comment, seq(token(r"[(\[]"), many(unit), token(r"[)\]]|\Z")), token(r"[^{}()\[\]\"'`/;\n]+|[/'`\"]")))
-    if language in ("scala", "kotlin"):  # a body may be an expression behind "=", which may begin on the next line
-        line = many(choice(string, comment, block, token(r"[^{}()\[\]\"'`/\n]+|[/'`\"]")))
-        rest = seq(line, optional(seq(token(r"(?<==)[ \t]*\n\s*"), line)))
-    else:
-        rest = seq(tail, choice(seq(token(r"\{"), many(unit), token(r"\}|\Z")), token(r";|\n|\Z"), ended))
-    function = action(
-        seq(token(_NOT_NAMES + _HEADS[language]), rest),
-        lambda v, a, b: ("function", v[0].group("name"), a, b),
-    )
-    inner = Rule()
-    inner.part = many(choice(gap, remark, seq(token(_TYPE_HEAD[language]), token(r"\{"), inner, token(r"\}|\Z")), function,
-                             action(choice(string, block, token(r"[^{}()\[\]\"'`/\s;,]+|[/'`\"]|[)\]]")), lambda v, a, b: ("other",))))
-    text.part = seq(inner, many(token(r"[\s\S]")))
-    return text
-
-
-def _events(value: object) -> Iterator[tuple]:
-    """The marked values in a tree of lists, in order."""
-    if isinstance(value, tuple):
-        if value and isinstance(value[0], str):
-            yield value
-    elif isinstance(value, list):
-        for v in value:
-            yield from _events(v)
-
-
-def _from_events(value: object, language: str) -> list[Found]:
-    comments = _Comments(_DOC_MARK[language])
-    found = []
-    for event in _events(value):
-        if event[0] == "comment":
-            comments.add(event[1])
-        elif event[0] == "function":
-            found.append(Found(event[1], comments.take(), event[2], event[3]))
-        elif event[0] in ("blank", "other"):
-            comments.parts.clear()
-    return found
-
-
-_PY_STRING = (
-    r"[A-Za-z]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
-)
-
-
-def _python_grammar() -> Parser:
-    """Lines: decorator / function head with an optional docstring / type head / comment / blank / statement."""
-    brackets = Rule()
-    piece = choice(token(_PY_STRING), token(r"#[^\n]*"), brackets, token(r"[^()\[\]{}\"'#\n]+|[\"']"))
-    inside = choice(piece, token(r"\n"))
-    brackets.part = choice(*(seq(token(a), many(inside), token(rf"{b}|\Z")) for a, b in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}"))))
-    to_end = seq(many(piece), token(r"\n|\Z"))
-    docstring = action(
-        seq(token(r"[ \t]*(?:#[^\n]*)?\n(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*|[ \t]*"), token(_PY_STRING), token(r"[ \t]*(?:#[^\n]*)?(?=\n|;|\Z)")),
-        lambda v, a, b: v[1].group(),
-    )
-    until_colon = many(choice(brackets, token(_PY_STRING), token(r"[^()\[\]{}\"'#\n:]+")))
-    function = action(
-        seq(token(r"(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)"), until_colon, token(r":"), optional(docstring), to_end),
-        lambda v, a, b: ("function", v[0].group("name"), len(v[0].group("indent").expandtabs()), v[3], a, b),
-    )
-    type_head = action(seq(token(r"(?P<indent>[ \t]*)class[ \t]+\w+"), until_colon, token(r":"), optional(docstring), to_end),
-                       lambda v, a, b: ("type", len(v[0].group("indent").expandtabs())))
-    decorator = action(seq(token(r"[ \t]*@"), to_end), lambda v, a, b: ("decorator",))
-    comment = action(token(r"[ \t]*(#[^\n]*)(?:\n|\Z)"), lambda m, a, b: ("comment", m.group(1)))
-    blank = action(token(r"[ \t\r]*\n"), lambda m, a, b: ("blank",))
-    statement = action(seq(token(r"(?P<indent>[ \t]*)(?=\S)"), to_end), lambda v, a, b: ("other", len(v[0].group("indent").expandtabs())))
-    line = Rule()
-    line.part = choice(decorator, function, type_head, comment, blank, statement, token(r"[^\n]*\n|[^\n]+"))
-    return many(line)
-
-
-def _clean_docstring(raw: str | None) -> str | None:
-    if raw is None:
-        return None
-    body = re.sub(r"^[A-Za-z]{0,2}(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "", raw)
-    return body.strip() or None
-
-
-def _from_python(value: object) -> list[Found]:
-    """Functions at the top or in a class; those within functions are left out."""
-    comments = _Comments("")
-    found: list[Found] = []
-    levels: list[tuple[int, str]] = []  # the open definitions by indentation
-    for event in _events(value):
-        if event[0] == "comment":
-            comments.add(event[1])
-            continue
-        if event[0] == "blank":
-            comments.parts.clear()
-            continue
-        if event[0] == "decorator":
-            continue
-        indent = event[2] if event[0] == "function" else event[1]
-        while levels and levels[-1][0] >= indent:
-            levels.pop()
-        if event[0] == "function":
-            above = comments.take()
-            if all(kind == "type" for _, kind in levels):
-                found.append(Found(event[1], _clean_docstring(event[3]) or above, event[4], event[5]))
-            levels.append((indent, "function"))
-        else:
-            comments.parts.clear()
-            if event[0] == "type":
-                levels.append((indent, "type"))
-    return found
-
-
-def _ruby_grammar() -> Parser:
-    """Lines: def / type head / other openers of ``end`` / end / comment / blank."""
-    string = r"\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'"
-    rest = seq(many(choice(token(string), token(r"[^\"'#\n]+|[\"']"), token(r"#\{[^}\n]*\}|#[^\n]*"))), token(r"\n|\Z"))
-    function = action(seq(token(r"[ \t]*def[ \t]+(?:self\.|\w+\.)?(?P<name>[^\s(;=]+[?!=]?)(?P<short>[ \t]*(?:\([^)\n]*\))?[ \t]*=(?![=~])[^\n]*|[^\n]*\bend\b[ \t]*(?=\n|\Z))?"), rest),
-                      lambda v, a, b: ("function", v[0].group("name"), bool(v[0].group("short")), a, b))
-    type_head = action(seq(token(r"(?![^\n]*\bend\b[ \t]*(?:\n|\Z))[ \t]*(?:class|module)\b"), rest), lambda v, a, b: ("type",))
-    one_line = r"(?![^\n]*\bend\b[ \t]*(?:#[^\n]*)?(?:\n|\Z))"
-    opener = action(seq(token(one_line + r"(?:[ \t]*(?:if|unless|while|until|for|case|begin)\b|[^\n#\"']*?(?:=|\|\||&&|return)[ \t]*(?:if|unless|case|begin|while)\b)"), rest), lambda v, a, b: ("open",))
-    do_line = action(seq(token(one_line + r"[^\n#\"']*(?:(?:\"[^\"\n]*\"|'[^'\n]*')[^\n#\"']*)*\bdo\b[ \t]*(?:\|[^|\n]*\|)?[ \t]*(?=\n|#|\Z)"), rest), lambda v, a, b: ("open",))
-    end = action(seq(token(r"[ \t]*end\b"), rest), lambda v, a, b: ("end",))
-    comment = action(token(r"[ \t]*(#[^\n]*)(?:\n|\Z)"), lambda m, a, b: ("comment", m.group(1)))
-    blank = action(token(r"[ \t\r]*\n"), lambda m, a, b: ("blank",))
-    line = Rule()
-    line.part = choice(comment, blank, function, type_head, opener, end, do_line, action(rest, lambda v, a, b: ("other",)))
-    return many(line)
-
-
-def _from_ruby(value: object) -> list[Found]:
-    comments = _Comments("")
-    found: list[Found] = []
-    levels: list[str] = []
-    for event in _events(value):
-        kind = event[0]
-        if kind == "comment":
-            comments.add(event[1])
-            continue
-        if kind == "function":
-            above = comments.take()
-            if "function" not in levels:
-                found.append(Found(event[1], above, event[3], event[4]))
-            if not event[2]:
-                levels.append("function")
-        elif kind in ("type", "open"):
-            levels.append(kind)
-        elif kind == "end" and levels:
-            levels.pop()
-        comments.parts.clear()
-    return found
-
-
-_GRAMMARS: dict[str, Parser] = {}
-
-
-def functions_in(language: str, text: str) -> list[Found]:
-    """The functions and methods of a text (at the top or in a type) with their documentation; [] without a grammar."""
-    if language not in _GRAMMARS:
-        if language == "python":
-            _GRAMMARS[language] = _python_grammar()
-        elif language == "ruby":
-            _GRAMMARS[language] = _ruby_grammar()
-        elif language in _HEADS:
-            _GRAMMARS[language] = _brace_grammar(language)
-        else:
-            return []
-    try:
-        got = _GRAMMARS[language](State(text), 0)
-    except RecursionError:  # brackets nested deeper than any code
-        return []
-    if got is None:
-        return []
-    if language == "python":
-        return _from_python(got[1])
-    return _from_ruby(got[1]) if language == "ruby" else _from_events(got[1], language)
-
-
 # -- rows -----------------------------------------------------------------------------------------------------------
 
 # Node kinds of the rows that are functions themselves.
@@ -357,13 +81,16 @@ _CLASS_START = re.compile(r"(?:@[^\n]*\n\s*)*(?:export\s+|abstract\s+|public\s+)
 PAIRS = "file_path string, language string, func_name string, doc string, start_line int, end_line int, code string"
 
 
-def _pairs_of(row: tuple) -> list[tuple]:
-    """All functions of a stitched row, documented or not."""
-    path, language, symbol, content, start, kind, summary = row
+def _pairs_of(parts: list[tuple]) -> list[tuple]:
+    """All functions, documented or not, of rows that may be parts of one definition, cut at a number of lines."""
+    path, language, symbol, _, start, kind, summary = parts[0]
+    content = "\n".join(p[3] for p in parts)
     is_function = kind in FUNCTION_KINDS or kind == "decorated_definition" and not _CLASS_START.match(content)
     found = functions_in(language, content) if language else []
     if is_function:
-        name = (found[0].name if found and found[0].start <= 2000 else "") or symbol
+        if len(parts) > 1 and len(found) > 1:  # not one function that was cut, but several next to each other
+            return [pair for part in parts for pair in _pairs_of([part])]
+        name = found[0].name if found else symbol
         if symbol and language in ("haskell", "fsharp"):
             name = symbol
         doc = summary if summary and summary.strip() else found[0].doc if found and language == "python" else None
@@ -382,7 +109,8 @@ def pair_functions(parsed: DataFrame) -> DataFrame:
     Columns: file_path, language, func_name, doc (null if there is none), start_line, end_line (0-based, of the file),
     code. Rows with a null path, content or language are left out; a null start line counts as 0, a null symbol as empty;
     repeated rows count once. A definition that was cut into several rows is put together again before it is parsed:
-    rows of the same symbol, kind and summary whose lines follow each other. An empty summary is none. Only
+    rows of the same symbol, kind and summary whose lines follow each other, all of the first one's number of lines but
+    for a shorter last one. An empty summary is none. Only
     file_path, language, symbol, content, start_line, end_line, node_kind and summary are read.
     """
     key = ["file_path", "language", "start_line", "end_line", "symbol", "node_kind", "summary", "content"]
@@ -400,23 +128,24 @@ def pair_functions(parsed: DataFrame) -> DataFrame:
     rows = rows.distinct().repartition("file_path").sortWithinPartitions(*key)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list | None = None
-        last_end = -2
+        names = [f.split()[0] for f in PAIRS.split(", ")]
+        held: list[tuple] = []
+        size = last_size = last_end = -1
         for batch in batches:
             out: list[tuple] = []
             for path, language, start, end, symbol, kind, summary, content in zip(*(batch[c] for c in key)):
-                follows = held is not None and (path, language, symbol, kind) == (held[0], held[1], held[2], held[5])
-                if follows and start == last_end + 1 and summary == held[6] and end - start + 1 <= last_size and last_size >= 20:
-                    held[3] += "\n" + content
+                own = end - start + 1
+                same = held and (path, language, symbol, kind, summary) == (*held[0][:3], *held[0][5:])
+                if same and start == last_end + 1 and last_size == size and own <= size:
+                    held.append((path, language, symbol, content, start, kind, summary))
                 else:
-                    if held is not None:
-                        out += _pairs_of(tuple(held))
-                    held = [path, language, symbol, content, start, kind, summary]
-                    last_size = end - start + 1
-                last_end = end
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in PAIRS.split(", ")])
-        if held is not None:
-            yield pd.DataFrame(_pairs_of(tuple(held)), columns=[f.split()[0] for f in PAIRS.split(", ")])
+                    if held:
+                        out += _pairs_of(held)
+                    held, size = [(path, language, symbol, content, start, kind, summary)], own
+                last_end, last_size = end, own
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(_pairs_of(held), columns=names)
 
     return rows.mapInPandas(stream, PAIRS)
 

@@ -31,6 +31,8 @@ def token(pattern: str, flags: int = 0) -> Parser:
 
 
 def seq(*parts: Parser) -> Parser:
+    parts = tuple(map(_plain, parts))
+
     def parse(s: State, at: int):
         values = []
         for part in parts:
@@ -45,6 +47,8 @@ def seq(*parts: Parser) -> Parser:
 
 
 def choice(*parts: Parser) -> Parser:
+    parts = tuple(map(_plain, parts))
+
     def parse(s: State, at: int):
         for part in parts:
             got = part(s, at)
@@ -56,6 +60,8 @@ def choice(*parts: Parser) -> Parser:
 
 
 def many(part: Parser, least: int = 0) -> Parser:
+    part = _plain(part)
+
     def parse(s: State, at: int):
         values = []
         while True:
@@ -70,16 +76,19 @@ def many(part: Parser, least: int = 0) -> Parser:
 
 
 def optional(part: Parser) -> Parser:
+    part = _plain(part)
     return lambda s, at: part(s, at) or (at, None)
 
 
 def unless(part: Parser) -> Parser:
     """Matches nothing, where ``part`` doesn't match."""
+    part = _plain(part)
     return lambda s, at: None if part(s, at) is not None else (at, None)
 
 
 def action(part: Parser, act: Callable[[object, int, int], object]) -> Parser:
     """The value becomes ``act(value, start, end)``."""
+    part = _plain(part)
 
     def parse(s: State, at: int):
         got = part(s, at)
@@ -88,16 +97,35 @@ def action(part: Parser, act: Callable[[object, int, int], object]) -> Parser:
     return parse
 
 
+def skip(part: Parser) -> Parser:
+    """The value is dropped: for stretches of text that no action asks for."""
+    part = _plain(part)
+
+    def parse(s: State, at: int):
+        got = part(s, at)
+        return None if got is None else (got[0], None)
+
+    return parse
+
+
 class Rule:
     """A named rule: may be used before it is defined, and is memoised."""
 
     def __init__(self):
         self.part: Parser | None = None
 
-    def __call__(self, s: State, at: int):
+    def parse(self, s: State, at: int):
         key = (id(self), at)
         memo = s.memo
         if key not in memo:
             memo[key] = None  # a rule that calls itself at the same place doesn't match
             memo[key] = self.part(s, at)
         return memo[key]
+
+    def define(self, part: Parser) -> None:
+        self.part = _plain(part)
+
+
+def _plain(part: Parser | Rule) -> Parser:
+    """A rule's method: a call of it, unlike one of the object, takes no room on the C stack."""
+    return part.parse if isinstance(part, Rule) else part

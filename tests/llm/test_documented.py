@@ -125,3 +125,41 @@ def test_rows(spark):
 
 def test_deep_nesting_gives_no_function():
     assert D.functions_in("rust", "(" * 100_000) == [] and D.functions_in("python", "x = " + "[" * 100_000) == []
+
+
+@pytest.mark.parametrize("depth", [300, 6000])
+@pytest.mark.parametrize("language, text", [
+    ("java", "class A {{\n  /** Says a lot about the method. */\n  int m() {{ return {}; }}\n}}"), ("python", "class A:\n    def m(self):\n        '''Says it all.'''\n        return {}\n"),
+    ("typescript", "class A {{\n  /** Says a lot about the method. */\n  m() {{ return {}; }}\n}}"), ("ruby", "class A\n  # Says a lot.\n  def m\n    {}\n  end\nend\n"),
+])
+def test_no_nesting_loses_a_function(language, text, depth):
+    found = D.functions_in(language, text.format("(" * depth + "1" + ")" * depth))
+    assert [(f.name, f.doc is not None) for f in found] == [("m", True)]
+
+
+@pytest.mark.parametrize("language, text, names", [
+    ("java", 'class A {\n  /** Says a lot about it. */\n  void m(@Nullable(value="x(y(z(w))))") Map<String, List<int[]>> a) throws E { }\n  protected A(int x) { }\n}', ["m", "A"]),
+    ("typescript", "class A {\n  /** Says a lot about it. */\n  private load = async (a: { b: (c: string) => void }): Promise<A | {x: 1}> => { return f(a); };\n  m(): { a: number } { return 1 }\n  n = 3;\n}", ["load", "m"]),
+    ("typescript", "/** Says a lot about it. */\nexport const pick = <T>(a: T, b = ')'): T => a;\nexport default function () { }", ["pick"]),
+    ("javascript", "/** Says a lot about it. */\nconst f = function (a) { return a; };\nvar g = x => x + 1, h = 2;\nif (a) { b(); }", ["f", "g"]),
+    ("csharp", "namespace N {\n  class A {\n    /// Says a lot about it.\n    public Dictionary<string, (int, int)> M<T>((int a, int b) x, string y = \")\") where T : new() => null;\n    void I.N() { }\n  }\n}", ["M", "N"]),
+    ("kotlin", "class A {\n  /** Says a lot about it. */\n  @Inject(\"(\") suspend inline fun <reified T : List<T>> Map<T, (T) -> Unit>?.`a b`(x: () -> Unit = { }) = x\n}", ["`a b`"]),
+    ("rust", "impl<T: Fn(A) -> B> X<T> {\n  /// Says a lot about it.\n  #[cfg(a = \"]\")]\n  pub(crate) const unsafe extern \"C\" fn go<'a, F: Fn(u8) -> u8>(f: F) where F: 'a {}\n}", ["go"]),
+    ("go", "func (s *Set[K, V]) Each(f func(k K) (bool, error)) (n int, err error) {\n\treturn\n}", ["Each"]),
+    ("scala", "object A {\n  /** Says a lot about it. */\n  implicit private[a] def +(x: Int = f(\")\"))(implicit y: Y): A = x\n}", ["+"]),
+])
+def test_heads(language, text, names):
+    assert [f.name for f in D.functions_in(language, text)] == names
+
+
+def test_a_head_may_stand_anywhere_and_neighbours_stay_apart(spark):
+    far = "/*" + "x" * 5000 + "*/\npublic void far() { }"
+    rows = [
+        ("a.java", "java", "", far, 0, 1, "method_declaration", "Says what the far one does.", 1, "x"),
+        ("b.py", "python", "", "@d\ndef f(): '''Says what the first one does.'''", 0, 1, "decorated_definition", None, 1, "x"),
+        ("b.py", "python", "", "@d\ndef g(): '''Says what the second one does.'''", 2, 3, "decorated_definition", None, 1, "x"),
+        ("c.py", "python", "h", "def h(a,", 0, 0, "function_definition", None, 1, "x"),
+        ("c.py", "python", "h", "      b): '''Says what the third one does.'''", 1, 1, "function_definition", None, 1, "x"),
+    ]
+    found = D.documented_functions(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.file_path, r.func_name) for r in found} == {("a.java", "far"), ("b.py", "f"), ("b.py", "g"), ("c.py", "h")}
