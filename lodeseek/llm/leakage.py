@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,11 +128,11 @@ def _item_blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, l
 
 
 def _stream(documents: DataFrame, items: DataFrame, min_words: int, max_words: int, schema: str, scan) -> DataFrame:
-    """``scan(automaton, doc_id, text)`` over every document, once for each block of items."""
+    """The rows of ``scan(automaton, doc_id, text)`` for every document, from one pass for each block of items."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     documents = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     names = [f.split()[0] for f in schema.split(", ")]
-    found = None
+    found = []
     for block in _item_blocks(items, max_words):
         shared = documents.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, min_words))
 
@@ -139,9 +141,10 @@ def _stream(documents: DataFrame, items: DataFrame, min_words: int, max_words: i
                 rows = [r for d, t in zip(batch["doc_id"], batch["text"]) for r in scan(shared.value, d, t)]
                 yield pd.DataFrame(rows, columns=names)
 
-        one = documents.mapInPandas(scan_batches, schema)
-        found = one if found is None else cut_lineage(found).unionByName(cut_lineage(one))
-    return found
+        if found:  # each block's rows are written before the next automaton is made
+            found[-1] = cut_lineage(found[-1])
+        found.append(documents.mapInPandas(scan_batches, schema))
+    return reduce(DataFrame.unionByName, found)
 
 
 LEAKS = "doc_id long, item_id long, spans int, longest int"
@@ -175,9 +178,25 @@ def find_leaks(
     return found.groupBy("doc_id", "item_id").agg(F.max("spans").alias("spans"), F.max("longest").alias("longest"))
 
 
+SPANS = "doc_id long, text_hash long, first int, last int, longest int"
 CLEANED = "doc_id long, text string, n_words int, leaked_words int, longest int, dropped boolean"
 
 
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words in order, those that touch put together."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
 def remove_leaks(
     documents: DataFrame,
     items: DataFrame,
@@ -186,35 +205,48 @@ def remove_leaks(
     max_coverage: float = 0.5,
     max_words: int = MAX_AUTOMATON_WORDS,
 ) -> DataFrame:
-    """The documents with leaked passages, without these passages.
+    """The documents with leaked passages, without these passages: one row for each doc_id and text.
 
     A passage of more than ``max_span`` matching words is cut out of the text; if more than ``max_coverage`` of the
     words match, the whole text is dropped (text is null, dropped is true). Columns: doc_id, text, n_words,
     leaked_words, longest, dropped. Documents without a leak aren't returned; nulls are treated as in ``find_leaks``.
-    With more than one block of items, a document has one row for each block that leaked into it.
+    The matching spans of all blocks of items are brought together by document before anything is cut: as many as the
+    document has words at most.
     """
 
     def scan(automaton: SuffixAutomaton, doc_id: int, text: str):
-        found = list(WORD.finditer(text))
-        spans: list[list[int]] = []
-        longest = 0
-        for i, matched, _ in automaton.matches([m.group().lower() for m in found]):
-            longest = max(longest, matched)
-            first = i - matched + 1
-            if spans and first <= spans[-1][1] + 1:
-                spans[-1] = [min(first, spans[-1][0]), i]
-            else:
-                spans.append([first, i])
-        if not spans:
-            return []
-        leaked = sum(b - a + 1 for a, b in spans)
-        if leaked > max_coverage * len(found):
-            return [(doc_id, None, len(found), leaked, longest, True)]
-        kept, at = [], 0
-        for a, b in spans:
-            if b - a + 1 > max_span:
-                kept.append(text[at : found[a].start()])
-                at = found[b].end()
-        return [(doc_id, "".join(kept) + text[at:], len(found), leaked, longest, False)]
-
-    return _stream(documents, items, min_words, max_words, CLEANED, scan)
+        found = [(i - matched + 1, i, matched) for i, matched, _ in automaton.matches(words_of(text))]
+        longest = max((matched for *_, matched in found), default=0)
+        key = _text_hash(text) if found else 0
+        return [(doc_id, key, a, b, longest) for a, b in _joined([(a, b) for a, b, _ in found])]
+
+    spans = _stream(documents, items, min_words, max_words, SPANS, scan)
+    gathered = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.max("longest").alias("longest"))
+
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_text_hash(t) for t in texts], dtype="int64")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, listed, longest in zip(batch["doc_id"], batch["text"], batch["spans"], batch["longest"]):
+                places = list(WORD.finditer(text))
+                own = _joined([(x["first"], x["last"]) for x in listed])
+                leaked = sum(b - a + 1 for a, b in own)
+                if leaked > max_coverage * len(places):
+                    rows.append((doc_id, None, len(places), leaked, longest, True))
+                    continue
+                kept, at = [], 0
+                for a, b in own:
+                    if b - a + 1 > max_span:
+                        kept.append(text[at : places[a].start()])
+                        at = places[b].end()
+                rows.append((doc_id, "".join(kept) + text[at:], len(places), leaked, longest, False))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in CLEANED.split(", ")])
+
+    found = gathered.select("doc_id").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    texts = texts.join(found, "doc_id", "left_semi").withColumn("text_hash", hashed("text"))
+    leaking = texts.join(gathered, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return leaking.select("doc_id", "text", "spans", "longest").mapInPandas(cut, CLEANED)

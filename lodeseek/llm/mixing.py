@@ -8,6 +8,8 @@ texts and a prefix, in seeded order, of one more.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,14 +71,14 @@ def _share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
     )
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame, total: Column | None = None) -> DataFrame:
+def plan_mix(sized: DataFrame, targets: DataFrame, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """Budgets of the leaves: domain, lang, source, target_share, max_repeat, tokens, weight, capacity, total, budget.
 
     ``sized`` has source, lang and tokens (see ``sized_documents``). A leaf's weight is its source's target share,
     divided among the languages by tokens; its capacity is ``max_repeat`` times its tokens. A source without documents
     keeps its target with language "und" and capacity 0. The size of the mix is that of all documents. Targets that are
     null or not positive, and null sources, take no part; a null or negative ``max_repeat`` counts as 0; if a source is
-    named twice, its targets are added and the larger ``max_repeat`` holds. The tables here have one row a source and
+    named twice, its targets are added and the larger ``max_repeat`` holds. ``domain`` groups the sources at the top of the tree. The tables here have one row a source and
     language, after one aggregation of the documents.
     """
     size = sized.groupBy("source", "lang").agg(F.sum("tokens").cast("double").alias("tokens"))
@@ -96,7 +98,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total: Column | None = None)
         .withColumn("tokens", F.coalesce("tokens", F.lit(0.0)))
         .withColumn("weight", F.when(own > 0, F.col("target_share") * F.col("tokens") / own).otherwise(F.col("target_share")))
         .withColumn("capacity", F.col("tokens") * F.col("max_repeat"))
-        .withColumn("domain", domain_of(F.col("source")))
+        .withColumn("domain", domain(F.col("source")))
         .crossJoin(F.broadcast(total))  # one row
     )
     root = W.partitionBy(F.lit(0))
@@ -112,11 +114,13 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total: Column | None = None)
 
 
 def short_sources(plan: DataFrame) -> DataFrame:
-    """Sources whose leaves together can't reach the source's target share of the total: source, target, capacity."""
+    """Sources that the budgets leave short, although what others don't use was offered to them: all their leaves are
+    full, and what they got is less than the target share of the total. Columns: source, target, budget."""
+    full = F.min((F.col("budget") >= F.col("capacity") * (1 - 1e-9)).cast("int"))
     by_source = plan.groupBy("source").agg(
-        (F.first("target_share") * F.first("total")).alias("target"), F.sum("capacity").alias("capacity")
+        (F.first("target_share") * F.first("total")).alias("target"), F.sum("budget").alias("budget"), full.alias("full")
     )
-    return by_source.where(F.col("capacity") < F.col("target"))
+    return by_source.where((F.col("full") == 1) & (F.col("budget") < F.col("target") * (1 - 1e-9))).drop("full")
 
 
 def select_mix(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:

@@ -49,3 +49,17 @@ def test_remove_leaks(spark):
     out = {r.doc_id: r for r in L.remove_leaks(docs, items).collect()}
     assert set(out) == {1, 5} and out[5].dropped and out[5].text is None
     assert out[1].leaked_words == 12 and out[1].text.startswith("Before. ! after word")
+
+
+def test_blocks_are_brought_together_before_cutting(spark):
+    w = " ".join(f"w{i}" for i in range(20))
+    v = " ".join(f"v{i}" for i in range(20))
+    items = spark.createDataFrame([(i, x) for i, x in enumerate([w, v, v + " " + w], 1)], "item_id long, text string")
+    docs = [(1, f"a {w} b {v} c " + "d " * 60), (1, f"a {w} b {v} c " + "d " * 60), (2, f"{w} b {v} c " + "d " * 30), (3, "none " * 50)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for max_words in (30, 1000):
+        out = {r.doc_id: r for r in L.remove_leaks(docs, items, max_words=max_words).collect()}
+        assert L.remove_leaks(docs, items, max_words=max_words).count() == 2
+        assert (out[1].leaked_words, out[1].dropped, out[1].text) == (40, False, "a  b  c " + "d " * 60)
+        assert (out[2].leaked_words, out[2].n_words, out[2].dropped) == (40, 72, True)
+    assert L.remove_leaks(docs.limit(0), items).count() == 0 and L.remove_leaks(docs, items.limit(0)).count() == 0
