@@ -56,6 +56,11 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicate_groups(members, pairs).withColumnRenamed("id", "chunk_id")
 
 
+def p3_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs tiles, bitmaps and intersection leave."""
+    return similarity.similarity_stages(read_table(spark, sf_dir, "chunks"), "chunk_id", "content")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = neighbours.similar_vectors(read_table(spark, sf_dir, "chunks"), "chunk_id", ["vector", "summary_vector"])
     found = neighbours.neighbour_pairs(lists)

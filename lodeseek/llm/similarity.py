@@ -5,20 +5,25 @@ at least the wanted similarity share a triple among the first ones of both in an
 rare triples first, the texts that share such a triple form a tile. Within a tile, sorted by size, only sizes close
 enough are paired (size bands). A pair's bitmap signatures then bound its overlap from above by counting the bits that
 differ; what is left is decided by intersecting the sorted arrays. No step loses a pair.
+
+Rarity is exact for every triple that ``FREQUENT`` texts or more hold; rarer ones count as equally rare. The frequent
+ones are few, as their number times their frequency can't exceed the text; they are broadcast behind a check of their
+number, and joined beyond it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeseek.llm.sketches import count_sketch, lookup
 from lodeseek.sources.tables import cut_lineage
 
 SIMILARITY = 0.6
@@ -26,6 +31,10 @@ MIN_TOKENS = 40
 SHINGLE = 3
 #: Texts that one tile holds at most; tiles of a more frequent triple are cut into pairs of blocks.
 TILE = 4000
+#: Triples held by fewer texts count as equally rare: their tiles are small whatever the size of the data.
+FREQUENT = 8
+#: Frequent triples (16 bytes each) or keys that are broadcast at most; more are joined.
+BROADCAST = 1 << 21
 
 _TOKEN = re.compile(rb"[A-Za-z0-9_]+")
 _MASK = np.uint64((1 << 48) - 1)
@@ -75,14 +84,35 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def overlap_bound(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
-    """Upper bound of the overlap: every differing bit stands for an element that only one of the sets has."""
-    if len(a) > len(b):
-        a, b = b, a
-    small, large = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(large) > len(small):  # bits are places modulo the size, so a larger map folds onto a smaller one
-        large = np.bitwise_or.reduce(large.reshape(-1, len(small)), axis=0)
-    return (n_a + n_b - int(np.bitwise_count(small ^ large).sum())) // 2
+def overlap_bounds(maps_a: list[bytes], maps_b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap of each pair: every differing bit stands for an element that only one of the sets has.
+
+    Pairs whose maps are of the same two sizes are taken as matrices.
+    """
+    sizes = np.array([(len(x), len(y)) for x, y in zip(maps_a, maps_b)], np.int64).reshape(-1, 2)
+    differing = np.zeros(len(sizes), np.int64)
+    for left, right in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == left) & (sizes[:, 1] == right))
+        a = np.frombuffer(b"".join([maps_a[i] for i in at]), np.uint64).reshape(len(at), -1)
+        b = np.frombuffer(b"".join([maps_b[i] for i in at]), np.uint64).reshape(len(at), -1)
+        small, large = (a, b) if left <= right else (b, a)
+        if large.shape[1] > small.shape[1]:  # bits are places modulo the size, so a larger map folds onto a smaller one
+            large = np.bitwise_or.reduce(large.reshape(len(at), -1, small.shape[1]), axis=1)
+        differing[at] = np.bitwise_count(small ^ large).sum(1)
+    return (np.asarray(n_a, np.int64) + np.asarray(n_b, np.int64) - differing) // 2
+
+
+def overlaps(sets_a: list[bytes], sets_b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(common elements, sum of sizes) of each pair of sorted arrays.
+
+    The pair's number goes above the 48 bits of an element, so all pairs are intersected by one sort; up to 65,536 pairs.
+    """
+    pairs = np.arange(len(sets_a), dtype=np.uint64) << np.uint64(48)
+    n_a, n_b = (np.array([len(x) // 8 for x in side], np.int64) for side in (sets_a, sets_b))
+    both = [np.frombuffer(b"".join(side), np.uint64) | np.repeat(pairs, n) for side, n in ((sets_a, n_a), (sets_b, n_b))]
+    joined = np.sort(np.concatenate(both), kind="stable")
+    twice = joined[:-1][joined[1:] == joined[:-1]]
+    return np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=len(sets_a)), n_a + n_b
 
 
 def needed_overlap(n_a, n_b, similarity: float):
@@ -117,27 +147,66 @@ def text_sets(rows: DataFrame, id_col: str, text_col: str, width: int, min_token
     return rows.mapInPandas(sets, TEXTS)
 
 
+def triple_counts(texts: DataFrame, buffered: int = 1 << 22) -> DataFrame:
+    """triple, texts: how many texts hold each triple. Tasks add up what they hold before anything is shuffled."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held += [np.frombuffer(x, np.int64) for x in batch["shingles"]]
+            if sum(map(len, held)) >= buffered:
+                yield added(held)
+                held = []
+        if held:
+            yield added(held)
+
+    def added(held: list[np.ndarray]) -> pd.DataFrame:
+        triples, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"triple": triples, "texts": counts})
+
+    return texts.select("shingles").mapInPandas(count, "triple long, texts long").groupBy("triple").agg(F.sum("texts").alias("texts"))
+
+
+def frequent_triples(texts: DataFrame, tile: int, most: int) -> tuple[DataFrame, bool]:
+    """(triple, texts of the frequent ones; whether they are at most ``most``). Where those of ``FREQUENT`` texts are too
+    many, the least frequency is doubled until they aren't, up to the size of a tile."""
+    frequent = cut_lineage(triple_counts(texts).where(F.col("texts") >= FREQUENT))
+    level = F.floor(F.log2(F.col("texts") / FREQUENT)).cast("int").alias("level")
+    counts = {r["level"]: r["count"] for r in frequent.groupBy(level).count().collect()}
+    least, left = 0, sum(counts.values())
+    while left > most and FREQUENT << (least + 1) <= tile:
+        left -= counts.get(least, 0)
+        least += 1
+    return (frequent.where(F.col("texts") >= FREQUENT << least), True) if left <= most else (frequent, False)
+
+
 POSTINGS = "tile long, block int, n int, place int, text_key long"
 
 
-def _postings(texts: DataFrame, sketch: np.ndarray, similarity: float, tile: int) -> DataFrame:
-    """The triples of each text's prefix, rare ones first, with their place in that order.
+def _postings(texts: DataFrame, frequent: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """The triples of each text's prefix, rare ones first, with their place in that order; ``frequent`` is collected.
 
-    A triple that may occur more than ``tile`` times gets several blocks by the text's key; the text then goes into the
+    A triple held by more than ``tile`` texts gets several blocks by the text's key; the text then goes into the
     tile of each pair of blocks that has its own.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    rows = sorted(map(tuple, frequent.collect()))
+    known = np.array(rows, np.int64).reshape(-1, 2)
+    shared = texts.sparkSession.sparkContext.broadcast((known[:, 0].copy(), known[:, 1].copy()))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        triples, often_of = shared.value
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for key, raw in zip(batch["text_key"], batch["shingles"]):
-                values = np.frombuffer(raw, np.uint64)
+                values = np.frombuffer(raw, np.int64)
                 n = len(values)
-                counts = lookup(shared.value, values)
+                counts = np.zeros(n, np.int64)
+                if len(triples):
+                    at = np.minimum(np.searchsorted(triples, values), len(triples) - 1)
+                    counts = np.where(triples[at] == values, often_of[at], 0)
                 size = n - int(np.ceil(similarity * n - 1e-9)) + 1
-                first = np.lexsort((values, counts))[:size]
-                chosen, often = values[first].astype(np.int64), counts[first].astype(np.int64)
+                first = np.argsort(counts, kind="stable")[:size]
+                chosen, often = values[first], counts[first]
                 place = np.arange(len(chosen), dtype=np.int32)
                 usual = often <= tile
                 parts = [(chosen[usual], np.zeros(int(usual.sum()), np.int32), place[usual])]
@@ -156,6 +225,27 @@ def _postings(texts: DataFrame, sketch: np.ndarray, similarity: float, tile: int
     return texts.select("text_key", "shingles").mapInPandas(post, POSTINGS)
 
 
+def _joined_postings(texts: DataFrame, frequent: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """What ``_postings`` gives, with ``frequent`` joined to the texts' triples instead of being collected."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, raw in zip(batch["text_key"], batch["shingles"]):
+                values = np.frombuffer(raw, np.int64)
+                yield pd.DataFrame({"text_key": key, "n": np.int32(len(values)), "triple": values})
+
+    held = texts.select("text_key", "shingles").mapInPandas(spread, "text_key long, n int, triple long").distinct()
+    known = held.join(frequent, "triple", "left").withColumn("often", F.coalesce("texts", F.lit(0)))
+    order = W.partitionBy("text_key").orderBy("often", "triple")
+    size = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    first = known.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size)
+    blocks = F.ceil(F.col("often") / tile).cast("int")
+    own = F.pmod("text_key", blocks).cast("int")
+    pair = lambda j: F.least(own, j) * blocks + F.greatest(own, j) + 1
+    spread_out = F.when(F.col("often") > tile, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(F.array(F.lit(0)))
+    return first.select(F.col("triple").alias("tile"), F.explode(spread_out).alias("block"), "n", F.col("place").cast("int"), "text_key")
+
+
 def _tile_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     """Pairs of texts in the same tile whose sizes and places allow the wanted overlap (a pair may come out repeatedly)."""
     order = ["tile", "block", "n", "text_key"]
@@ -213,42 +303,41 @@ def _bounded(candidates: DataFrame, texts: DataFrame, similarity: float) -> Data
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            needed = needed_overlap(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), similarity)
-            most = [overlap_bound(*x) for x in zip(batch["map_a"], batch["map_b"], batch["n_a"], batch["n_b"])]
-            yield batch.loc[np.array(most) >= needed, ["a", "b"]] if len(batch) else batch[["a", "b"]]
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            most = overlap_bounds(batch["map_a"].tolist(), batch["map_b"].tolist(), n_a, n_b)
+            yield batch.loc[most >= needed_overlap(n_a, n_b, similarity), ["a", "b"]]
 
     return candidates.join(left, "a").join(right, "b").mapInPandas(bound, "a long, b long")
 
 
 def _intersected(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs with their exact similarity, decided on the sorted arrays; arrays move only for texts that some pair needs."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key"))
-    sketch = texts.sparkSession.sparkContext.broadcast(count_sketch(needed, "text_key") > 0)
-
-    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = batch["text_key"].to_numpy().astype(np.int64).view(np.uint64)
-            yield batch[lookup(sketch.value, keys)]
-
-    arrays = texts.select("text_key", "shingles").mapInPandas(wanted, "text_key long, shingles binary")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    needed = F.broadcast(needed) if pairs.count() * 2 <= BROADCAST else needed
+    arrays = texts.select("text_key", "shingles").join(needed, "text_key", "left_semi")
     arrays = arrays.groupBy("text_key").agg(F.first("shingles").alias("shingles"))
     left = arrays.select(F.col("text_key").alias("a"), F.col("shingles").alias("set_a"))
     right = arrays.select(F.col("text_key").alias("b"), F.col("shingles").alias("set_b"))
 
     def intersect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                value = common / (len(x) + len(y) - common)
-                if value >= similarity - 1e-12:
-                    out.append((a, b, value))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                common, total = overlaps(part["set_a"].tolist(), part["set_b"].tolist())
+                value = common / (total - common)
+                good = value >= similarity - 1e-12
+                yield part.loc[good, ["a", "b"]].assign(similarity=value[good])
 
     return pairs.join(left, "a").join(right, "b").mapInPandas(intersect, "a long, b long, similarity double")
 
 
+def _candidates(texts: DataFrame, similarity: float, tile: int, most: int) -> DataFrame:
+    """Pairs of text keys that share a tile and may overlap enough by size and place."""
+    frequent, few = frequent_triples(texts, tile, most)
+    postings = _postings if few else _joined_postings
+    return _tile_pairs(postings(texts, frequent, similarity, tile), similarity).distinct()
+
+
 def similar_texts(
     rows: DataFrame,
     id_col: str,
@@ -257,24 +346,36 @@ def similar_texts(
     width: int = SHINGLE,
     min_tokens: int = MIN_TOKENS,
     tile: int = TILE,
+    most: int = BROADCAST,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members has id, text_key for each row; pairs has a, b, similarity for each pair of different
     text keys of at least ``similarity``, a < b.
 
     Rows with equal sets of runs share a text_key and aren't listed in pairs. Rows with a null id or text or with fewer
-    than ``min_tokens`` tokens take no part. Only the two named columns are read.
+    than ``min_tokens`` tokens take no part. Only the two named columns are read. ``most`` frequent runs are broadcast at
+    most; more are joined, with the same result.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must lie in (0, 1]")
     sets = cut_lineage(text_sets(rows, id_col, text_col, width, min_tokens))
     texts = sets.where(F.col("shingles").isNotNull())
-    sketch = count_sketch(texts, "shingles")
-    candidates = _tile_pairs(_postings(texts, sketch, similarity, tile), similarity).distinct()
-    close = cut_lineage(_bounded(candidates, texts, similarity))
+    close = cut_lineage(_bounded(_candidates(texts, similarity, tile, most), texts, similarity))
     pairs = cut_lineage(_intersected(close, texts, similarity))
     return sets.select("id", "text_key"), pairs
 
 
+def similarity_stages(rows: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """stage, n: how many rows and different texts take part, and how many pairs of texts are left by the tiles, by the
+    bitmaps' bound, and by the exact intersection."""
+    sets = cut_lineage(text_sets(rows, id_col, text_col, SHINGLE, MIN_TOKENS))
+    texts = sets.where(F.col("shingles").isNotNull())
+    candidates = cut_lineage(_candidates(texts, similarity, tile, BROADCAST))
+    close = cut_lineage(_bounded(candidates, texts, similarity))
+    stages = {"rows": sets, "texts": sets.select("text_key").distinct(), "tiles": candidates, "bitmaps": close, "similar": _intersected(close, texts, similarity)}
+    counts = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, d in stages.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of rows, smaller id first: of the same text and of similar texts."""
     left = members.select(F.col("text_key").alias("a"), F.col("id").alias("id_a"))
@@ -292,6 +393,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node it knows. The number of rounds is logarithmic in the longest chain; every round is written to the shared folder.
     """
     edges = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct())
+    state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -301,9 +403,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = down.join(least, "u")
         after = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         after = cut_lineage(after.where("u != v").distinct())
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
+        before, state = state, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         edges = after
-        if not changed:
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle")

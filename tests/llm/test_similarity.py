@@ -6,7 +6,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodeseek.llm import similarity as S
-from lodeseek.llm import sketches
 
 
 def texts(seed=3):
@@ -38,11 +37,12 @@ def brute_force(rows, similarity):
     }
 
 
-@pytest.mark.parametrize("tile, similarity", [(4000, 0.6), (3, 0.6), (4000, 0.8)])
-def test_finds_exactly_the_similar_pairs(spark, tile, similarity):
+@pytest.mark.parametrize("tile, similarity, most", [(4000, 0.6, 1000), (3, 0.6, 1000), (4000, 0.8, 1000), (9, 0.6, -1), (4000, 0.6, -1)])
+def test_finds_exactly_the_similar_pairs(spark, tile, similarity, most, monkeypatch):
+    monkeypatch.setattr(S, "FREQUENT", 2)
     rows = [(i, t) for i, t in enumerate(texts())] + [(None, texts()[0])]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "chunk_id long, content string, text_key string, n int").repartition(3)
-    members, pairs = S.similar_texts(df, "chunk_id", "content", similarity=similarity, tile=tile)
+    members, pairs = S.similar_texts(df, "chunk_id", "content", similarity=similarity, tile=tile, most=most)
     expected = brute_force(rows, similarity)
     assert len(expected) > 10
     assert {tuple(r) for r in S.row_pairs(members, pairs).collect()} == expected
@@ -66,7 +66,11 @@ def test_empty_table(spark):
 @given(st.sets(st.integers(0, 5000), min_size=1, max_size=300), st.sets(st.integers(0, 5000), min_size=1, max_size=900))
 def test_bitmap_bound_is_never_below_the_overlap(a, b):
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-    assert S.overlap_bound(S.bitmap(x), S.bitmap(y), len(x), len(y)) >= len(a & b)
+    maps, ns = [S.bitmap(x), S.bitmap(y), S.bitmap(x)], np.array([len(x), len(y), len(x)])
+    bounds = S.overlap_bounds(maps[:2], maps[1:], ns[:2], ns[1:])
+    assert bounds[0] == bounds[1] >= len(a & b)
+    common, total = S.overlaps([x.tobytes(), y.tobytes()], [y.tobytes(), y.tobytes()])
+    assert common.tolist() == [len(a & b), len(b)] and total.tolist() == [len(a) + len(b), 2 * len(b)]
 
 
 def test_tokens_are_ascii_runs():
@@ -75,8 +79,17 @@ def test_tokens_are_ascii_runs():
     assert S.shingle_set("a b", 3, 2) is None
 
 
-def test_sketch_counts_from_above(spark):
-    df = spark.createDataFrame([(i % 7,) for i in range(100)], "v long").repartition(3)
-    sketch = sketches.count_sketch(df, "v")
-    assert sketch.sum() == 100 and (sketches.lookup(sketch, np.arange(7, dtype=np.uint64)) >= 14).all()
-    assert sketches.count_sketch(df.limit(0), "v").sum() == 0
+def test_frequent_triples_are_counted_exactly_and_bounded(spark):
+    sets = [np.array(sorted({0, 1, *range(10 * i, 10 * i + 3 + i % 9)}), np.uint64).tobytes() for i in range(1, 60)]
+    df = spark.createDataFrame([(bytearray(x),) for x in sets], "shingles binary").repartition(3)
+    counts = dict(map(tuple, S.triple_counts(df, buffered=20).collect()))
+    assert counts[0] == counts[1] == 59 and max(n for t, n in counts.items() if t > 1) <= 2
+    frequent, few = S.frequent_triples(df, 4000, 2)
+    assert few and sorted(map(tuple, frequent.collect())) == [(0, 59), (1, 59)]
+    assert not S.frequent_triples(df, 16, 1)[1] and S.frequent_triples(df, 4000, 1)[0].count() == 0
+
+
+def test_stages_shrink(spark):
+    df = spark.createDataFrame(list(enumerate(texts())), "chunk_id long, content string")
+    n = {r.stage: r.n for r in S.similarity_stages(df, "chunk_id", "content").collect()}
+    assert n["rows"] > n["texts"] > 25 and n["tiles"] >= n["bitmaps"] >= n["similar"] > 10
