@@ -1,8 +1,8 @@
 """Problem 2: generated, minified, vendored and data files, so that only hand-written source remains.
 
-Three kinds of evidence: the path and the notes at the head of a file; the composition of its tokens; and, where path
-and notes only hint at a copy, an inverted index of rare line hashes that gives the exact share of the file's rare lines
-found in one file of another repository.
+Three kinds of evidence: the path and the notes at the head of a file; an inverted index of rare line hashes that gives,
+for every file, the exact share of its rare lines found in one file of another repository; and, for what remains, the
+composition of its tokens.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from lodeseek.sources.tables import cut_lineage
 
 #: A line is rare if at most so many different texts hold it.
 RARE = 50
-#: Share of a file's rare lines that one file of another repository must hold to confirm a hint.
+#: Share of a file's rare lines from which on it is contained in a file of another repository.
 CONTAINED = 0.8
 
 # -- paths ----------------------------------------------------------------------------------------------------------
@@ -68,7 +68,7 @@ _DOC_LINE = re.compile(r"\s*(?:///|/\*\*(?!\*)|-- [|^]|\{- ?[|^])")
 _BLOCK_OPEN = {"/*": "*/", "{-": "-}", '"""': '"""', "'''": "'''", "=begin": "=end", "<!--": "-->", "(*": "*)"}
 
 
-def head_comments(text: str, language: str | None) -> tuple[list[str], list[str]]:
+def head_comments(text: str) -> tuple[list[str], list[str]]:
     """(file comments, doc comments) at the head: all lines before the first code.
 
     A doc comment belongs to the definition below it, not to the file, unless a blank line parts them.
@@ -114,9 +114,9 @@ def _same_project(origin: str, repo: str | None, path: str) -> bool:
     return any(name == o for o in own) or name in ("us", "me", "ours", "our", "own", "this", "team", "maintainers", "project", "the")
 
 
-def notes(text: str, language: str | None, repo: str | None, path: str) -> dict[str, bool]:
+def notes(text: str, repo: str | None, path: str) -> dict[str, bool]:
     """What the comments at the head say: generated, vendored (an origin other than the file's repository)."""
-    own, docs = head_comments(text, language)
+    own, docs = head_comments(text)
     generated = any(_GENERATED_NOTE.search(x) and not _NOT_GENERATED.search(x) for x in own + docs)
     origin = hint = False
     for lines, firm in ((own, True), (docs, False)):
@@ -136,11 +136,10 @@ _TOKEN = re.compile(
     r"|(?P<string>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|`[^`]*`|'(?:[^'\\\n]|\\.)*')"
     r"|(?P<number>\d[\w.]*)|(?P<word>[^\W\d]\w*)"
 )
-_HASH_COMMENTS = {"python", "ruby"}
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
 
 
-def composition(text: str, language: str | None) -> dict[str, float]:
+def composition(text: str) -> dict[str, float]:
     """Shares that tell written code from data, squeezed code and generated code."""
     words = literals = literal_chars = encoded = 0
     for m in _TOKEN.finditer(text):
@@ -207,8 +206,8 @@ def file_signs(chunks: DataFrame) -> DataFrame:
     """What path, head notes and token composition say of each file, and the hashes of its lines."""
 
     def one(path: str, language: str | None, repo: str | None, text: str) -> list[tuple]:
-        said = notes(text, language, repo, path)
-        c = composition(text, language)
+        said = notes(text, repo, path)
+        c = composition(text)
         hint = said["origin_hint"] or bool(_VENDOR_HINT.search(path))
         row = (
             path, language, repo,
@@ -222,26 +221,25 @@ def file_signs(chunks: DataFrame) -> DataFrame:
     return map_files(chunks, one, SIGNS)
 
 
-def containment(signs: DataFrame, rare: int = RARE, every: bool = True) -> DataFrame:
-    """For each file (with ``every`` false, each with a hint of a foreign origin): file_path, language, and the largest
-    share of its rare lines in one file of another repository (contained), with that file (origin_path), if it is at
-    least CONTAINED.
+def containment(signs: DataFrame, rare: int = RARE) -> DataFrame:
+    """For each file: file_path, language, and the largest share of its rare lines in one file of another repository
+    (contained), with that file (origin_path), if it is at least CONTAINED; and whether it is the copy (copied). Of two
+    files that contain each other, text doesn't tell which came first: one of which directory or comment tell nothing
+    counts as the origin before one of which they do, and then the one with the smaller path.
 
     A line is rare if it occurs in at most ``rare`` different texts; equal texts count once, so that many copies of a
     file don't make its lines common. Lines that more texts share are boilerplate and count neither for nor against.
     If less than half of a text's lines are rare, as in a library that many repositories hold with small edits, the share
     is of all its lines: a file that holds CONTAINED of them holds one of the rarest few (``_common_share``).
-    The index holds one row for each rare line and text; lines of files that aren't asked for are only looked up.
+    The index holds one row for each rare line and text.
     """
-    wanted = signs if every else signs.where("vendor_hint")
     texts = signs.groupBy("text_hash").agg(F.first("line_hashes").alias("line_hashes"))
     lines = texts.select("text_hash", F.explode("line_hashes").alias("line"))
     # df with a partial step; only lines that some text shares and that are rare stay in the index.
     shared = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts").between(2, rare)).select("line")
     index = lines.join(shared, "line")
-    asked = wanted.select("text_hash").distinct()
     # A rare line of the file that nobody shares still counts in the size.
-    counted = lines.join(asked, "text_hash", "left_semi").join(lines.groupBy("line").agg(F.count("*").alias("texts")), "line")
+    counted = lines.join(lines.groupBy("line").agg(F.count("*").alias("texts")), "line")
     size = counted.groupBy("text_hash").agg(F.count_if(F.col("texts") <= rare).alias("size"), F.count("*").alias("lines"))
     size = cut_lineage(size)
     common_lined = size.where(2 * F.col("size") < F.col("lines")).select("text_hash", "lines")
@@ -252,19 +250,25 @@ def containment(signs: DataFrame, rare: int = RARE, every: bool = True) -> DataF
     share = common.join(size, common["a"] == size["text_hash"]).select("a", "b", (F.col("common") / F.col("size")).alias("share"))
     share = share.where(F.col("share") >= CONTAINED)
     share = share.unionByName(_common_share(counted, lines, common_lined))
-    itself = wanted.where(F.size("line_hashes") > 0).select("text_hash").distinct()  # equal texts elsewhere
-    share = share.unionByName(itself.select(F.col("text_hash").alias("a"), F.col("text_hash").alias("b"), F.lit(1.0).alias("share")))
-    # Copies of a text: for the other side, the first path of up to two repositories is enough to find a foreign one.
-    homes = signs.groupBy("text_hash", "repo").agg(F.min("file_path").alias("home_path"))
-    homes = homes.withColumn("_n", F.row_number().over(W.partitionBy("text_hash").orderBy(F.col("repo").asc_nulls_last()))).where("_n <= 2")
+    share = cut_lineage(share)
+    back = share.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("mutual"))
+    share = share.join(back, ["a", "b"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
+    itself = signs.where(F.size("line_hashes") > 0).select("text_hash").distinct()  # equal texts elsewhere
+    share = share.unionByName(itself.select(F.col("text_hash").alias("a"), F.col("text_hash").alias("b"), F.lit(1.0).alias("share"), F.lit(True).alias("mutual")))
+    # Copies of a text: the first ones in two repositories hold the first one that is foreign to any file.
+    rank = F.struct((F.col("vendored_path") | F.col("origin_note") | F.col("vendor_hint")).alias("told"), "file_path")
+    homes = signs.groupBy("text_hash", "repo").agg(F.min(rank).alias("home"))
+    homes = homes.withColumn("_n", F.row_number().over(W.partitionBy("text_hash").orderBy("home"))).where("_n <= 2")
     found = (
-        wanted.select("file_path", "language", F.col("repo").alias("own"), F.col("text_hash").alias("a"))
+        signs.select("file_path", "language", F.col("repo").alias("own"), F.col("text_hash").alias("a"), rank.alias("rank"))
         .join(share, "a")
-        .join(homes.select(F.col("text_hash").alias("b"), "repo", "home_path"), "b")
+        .join(homes.select(F.col("text_hash").alias("b"), "repo", "home"), "b")
         .where(~F.col("own").eqNullSafe(F.col("repo")))
     )
     return found.groupBy("file_path", "language").agg(
-        F.max("share").alias("contained"), F.max_by("home_path", F.struct("share", "home_path")).alias("origin_path")
+        F.max("share").alias("contained"),
+        F.max_by("home.file_path", F.struct("share", "home.file_path")).alias("origin_path"),
+        F.max(~F.col("mutual") | (F.col("home") < F.col("rank"))).alias("copied"),
     )
 
 
@@ -284,27 +288,28 @@ def _common_share(counted: DataFrame, lines: DataFrame, texts: DataFrame) -> Dat
     return share.where(F.col("share") >= CONTAINED)
 
 
-def classify_files(chunks: DataFrame, every: bool = True) -> DataFrame:
+def classify_files(chunks: DataFrame, told: bool = False) -> DataFrame:
     """Every file with its kind: generated, minified, vendored, data, or hand (written in its own repository).
 
     Columns: file_path, language, repo, kind, reason, contained, origin_path. The first that holds decides: an origin
-    told by directory or notice (vendored), a generator told by note, path or content, squeezed code, data; then hints
-    of an origin that the index of rare lines confirms. Contained and origin_path are told of every file, whatever its
-    kind; with ``every`` false only of those with a hint, which changes no kind. What makes up a file, and nulls and repeated rows: see
-    ``map_files``; an empty text is hand.
+    told by directory or notice (vendored), a generator told by note or path, a squeezing tool told by path; then
+    containment in a file of another repository, of which the file counts as the copy (vendored); then, for the remaining
+    files, what their tokens are made of (squeezed code, data, generated code). With ``told``, a contained file is a copy
+    only if a directory or a doc comment hints at an origin. Contained and origin_path are told of every file, whatever
+    its kind. What makes up a file, and nulls and repeated rows: see ``map_files``; an empty text is hand.
     """
     signs = cut_lineage(file_signs(chunks))
-    confirmed = containment(signs, every=every)
+    copied = F.coalesce(F.col("vendor_hint") & F.col("contained").isNotNull() if told else F.col("copied"), F.lit(False))
     rules = [
         ("vendored", "directory", F.col("vendored_path")),
         ("generated", "note", F.col("generated_note")),
         ("generated", "path", F.col("generated_path")),
-        ("minified", "content", F.col("minified_look")),
         ("minified", "path", F.col("minified_path")),
         ("vendored", "notice", F.col("origin_note")),
+        ("vendored", "contained", copied),
+        ("minified", "content", F.col("minified_look")),
         ("data", "content", F.col("data_look")),
         ("generated", "content", F.col("generated_look")),
-        ("vendored", "contained", F.col("vendor_hint") & F.coalesce(F.col("contained") >= CONTAINED, F.lit(False))),
     ]
     kind = reason = None
     for k, r, holds in rules:
@@ -312,7 +317,7 @@ def classify_files(chunks: DataFrame, every: bool = True) -> DataFrame:
         reason = F.when(holds, r) if reason is None else reason.when(holds, r)
     left = signs.drop("line_hashes").alias("s")
     same = (F.col("s.file_path") == F.col("c.file_path")) & F.col("s.language").eqNullSafe(F.col("c.language"))
-    joined = left.join(confirmed.alias("c"), same, "left")
+    joined = left.join(containment(signs).alias("c"), same, "left")
     return joined.select(
         "s.file_path", "s.language", "repo", kind.otherwise("hand").alias("kind"), reason.alias("reason"), "contained", "origin_path"
     )

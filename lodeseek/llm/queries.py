@@ -35,12 +35,12 @@ def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = foreign_files.classify_files(read_table(spark, sf_dir, "chunks"), every=False)
+    files = foreign_files.classify_files(read_table(spark, sf_dir, "chunks"), told=True)
     return files.where("kind != 'hand'").select("file_path").distinct()
 
 
 def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file with its kind, the reason, and the file of another repository that holds it, hinted or not."""
+    """Every file with its kind, the reason, and the file of another repository that holds it, told or not."""
     return foreign_files.classify_files(read_table(spark, sf_dir, "chunks"))
 
 

@@ -134,9 +134,6 @@ def weakest_pieces(lines: list[str], limit: int = LIMIT, overlap: int = OVERLAP)
     return pieces
 
 
-_ATOM = re.compile(r"\s*(?:\w+|[^\w\s]|\s+)")
-
-
 def cut_long_line(line: str, limit: int) -> list[tuple[int, int]]:
     """Character ranges of a line longer than ``limit``: cuts fall behind separators, else between words, else anywhere."""
     ranges, start = [], 0

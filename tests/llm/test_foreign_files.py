@@ -20,15 +20,15 @@ from lodeseek.llm import foreign_files as G
     ],
 )
 def test_notes(text, generated, origin):
-    said = G.notes(text, "go", "my-repo", "my-repo/src/a.go")
+    said = G.notes(text, "my-repo", "my-repo/src/a.go")
     assert (said["generated_note"], said["origin_note"]) == (generated, origin)
 
 
 def test_notes_behind_a_long_licence():
     licence = "".join(f"// Licence text, line {i}.\n" for i in range(60))
     for note, key in (("// Code generated by protoc. DO NOT EDIT.", "generated_note"), ("// Vendored from widget 1.2.3", "origin_note")):
-        assert G.notes(f"{licence}{note}\npackage a", "go", "my-repo", "my-repo/src/a.go")[key]
-        assert not G.notes(f"{licence}package a\n{note}", "go", "my-repo", "my-repo/src/a.go")[key]
+        assert G.notes(f"{licence}{note}\npackage a", "my-repo", "my-repo/src/a.go")[key]
+        assert not G.notes(f"{licence}package a\n{note}", "my-repo", "my-repo/src/a.go")[key]
 
 
 def test_composition():
@@ -37,7 +37,7 @@ def test_composition():
     small = "!function(){" + "var a=b.c(1),d='x';if(a>2){e(a)}" * 30 + "}();"
     getters = "class A {\n" + "".join(f"  getA{i}() {{ return this.read({i}, 0); }}\n" for i in range(20)) + "}"
     hand = "\n".join(f"def f{i}(a, b):\n    c = a + {i}\n    if c > b:\n        g(c)\n    return 'x'" for i in range(9))
-    looks = lambda t: tuple(f(G.composition(t, None)) for f in (G.looks_data, G.looks_minified, G.looks_generated))
+    looks = lambda t: tuple(f(G.composition(t)) for f in (G.looks_data, G.looks_minified, G.looks_generated))
     assert looks(table) == (True, False, False) and looks(blob) == (True, False, False)
     assert looks(small) == (False, True, False) and looks(getters) == (False, False, True)
     assert looks(hand) == (False, False, False)
@@ -57,9 +57,11 @@ def test_classify(spark):
     rows += [("g:0", None, "g/n.py", None, "# Vendored from widget 1.0.0\nx", None, None, None), ("h:0", "h", None, "python", "x", 0, 0, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.file_path: (r.kind, r.reason) for r in G.classify_files(df).collect()}
+    told = {r.file_path: (r.kind, r.reason) for r in G.classify_files(df, told=True).collect()}
+    assert told == {**got, "c/src/copy.py": ("hand", None)}
     assert got == {
         "a/src/orig.py": ("hand", None), "b/vendors/copy.py": ("vendored", "contained"), "b/vendors/own.py": ("vendored", "contained"),
-        "b/vendor/x/y.py": ("vendored", "directory"), "c/src/copy.py": ("hand", None), "d/gen/x.py": ("generated", "path"),
+        "b/vendor/x/y.py": ("vendored", "directory"), "c/src/copy.py": ("vendored", "contained"), "d/gen/x.py": ("generated", "path"),
         "e/src/app.min.js": ("minified", "path"), "f/empty.py": ("hand", None), "g/n.py": ("vendored", "notice"),
     }
     assert G.classify_files(df.limit(0)).count() == 0
@@ -74,9 +76,9 @@ def test_containment_of_unhinted_and_of_widespread_files(spark):
         rows.append((f"v{n}", f"v{n}", path, "python", "\n".join([*body, f"edited_in_{n} = True"]), 0, 31, None))
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.file_path: r for r in G.classify_files(df).collect()}
-    assert got["r1/src/copy.py"].kind == "hand" and got["r1/src/copy.py"].origin_path == "r0/src/unhinted.py"
-    assert got["r1/src/copy.py"].contained == pytest.approx(29 / 30)
+    assert got["r1/src/copy.py"].kind == "vendored" and got["r1/src/copy.py"].origin_path == "r0/src/unhinted.py"
+    assert got["r1/src/copy.py"].contained == got["r0/src/unhinted.py"].contained == pytest.approx(29 / 30)
     assert all(got[p].contained == pytest.approx(30 / 31) for p in got if p.endswith("lib.py"))
-    assert all((got[p].kind == "vendored") == ("vendors" in p) for p in got)
-    hinted = {r.file_path: r.kind for r in G.classify_files(df, every=False).collect()}
-    assert hinted == {p: r.kind for p, r in got.items()}
+    assert {p for p in got if got[p].kind == "hand"} == {"r0/src/unhinted.py", "v0/src/lib.py"}
+    told = {r.file_path: r.kind for r in G.classify_files(df, told=True).collect()}
+    assert all((told[p] == "vendored") == ("vendors" in p) for p in told)
