@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import language_of, lines, window_starts
+from lodeseek.operators.definitions import definitions
 from lodeseek.operators.refresh import valid_text
 
 MAX_LINES = 150
@@ -57,124 +57,13 @@ def split_oversized(chunks: DataFrame, size: int = MAX_LINES) -> DataFrame:
     )
 
 
-# -- definitions ----------------------------------------------------------------------------------------------------
-
-_WORDS = r"(?:[a-z]+(?:\([^)]*\))?\s+)*"
-_HEADS = {
-    "rust": (r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\"\w+\"\s+)?)*(fn|impl|struct|enum|trait|type|const|static|mod|union|macro_rules!)\b(?:<[^>]*>)?\s*(?:mut\s+)?(\w*)", ("impl",)),
-    "java": (rf"(?:@\w+(?:\([^)]*\))?\s+)*{_WORDS}(class|interface|enum|record|@interface)\s+(\w+)", ()),
-    "csharp": (rf"(?:\[[^\]]*\]\s*)*{_WORDS}(class|interface|struct|enum|record|delegate)\s+(\w+)", ()),
-    "javascript": (r"(?:export\s+(?:default\s+)?)?(?:async\s+)?(function\*?|class)\s*(\w*)", ()),
-    "typescript": (r"(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum)\s+(\w+)", ()),
-    "go": (r"(func|type|const|var)\s+(?:\([^)]*\)\s*)?(\w*)", ()),
-    "kotlin": (rf"(?:@\w+\s+)*{_WORDS}(fun|class|interface|object|typealias|val|var)\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", ()),
-    "scala": (rf"(?:@\w+\s+)*{_WORDS}(def|class|object|trait|enum|given|type)\s+(\w+)", ()),
-    "fsharp": (r"(let|type|module|exception)\s+(?:rec\s+|inline\s+|private\s+|mutable\s+)*(\w+)", ()),
-    "haskell": (r"(data|newtype|class|instance|type)\s+(?:[^=\n]*=>\s*)?(\w+)|([a-z_][\w']*)(?=[^\n:]*(?:=|\||$))(?![^\n]*::)", ()),
-    "python": (r"(?:async\s+)?(def|class)\s+(\w+)", ()),
-    "ruby": (r"(def|class|module)\s+(?:self\.)?([\w:?!]+)", ()),
-}
-_HEADS["tsx"] = _HEADS["typescript"]
-_COMPILED = {name: re.compile(head) for name, (head, _) in _HEADS.items()}
-_ANNOTATION = re.compile(r"@\w|#\[|\[\w")
-_DOC = {
-    "rust": r"///|/\*\*", "csharp": r"///|/\*\*", "fsharp": r"///|/\*\*", "java": r"/\*\*", "javascript": r"/\*\*", "typescript": r"/\*\*",
-    "tsx": r"/\*\*", "scala": r"/\*\*", "kotlin": r"/\*\*", "haskell": r"-- ?\||\{-\|", "go": r"//|/\*", "ruby": r"#", "python": r"#",
-}
-_COMMENT = re.compile(r"//|#(?!\[)|/?\*|--|\{-|-\}|\*/")
-_NOISE = re.compile(r'"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]+?)\'|`[^`]*`|//[^\n]*|/\*[\s\S]*?\*/')
-
-
-def definitions(language: str, text: str) -> list[tuple[str, str, int, int, str | None]]:
-    """Definitions at the margin: (kind, symbol, first line, last line, summary). What lies between them is left out.
-
-    A definition begins at a line at the margin that its language's head matches and goes on to the line before the next
-    text at the margin that isn't its closing bracket or ``end``. The comment right above it is its summary if the
-    language takes its form for documentation.
-    """
-    head = _COMPILED.get(language)
-    if head is None:
-        return []
-    rows = re.sub(r"\r\n?", "\n", text).split("\n")
-    quiet = _NOISE.sub(lambda m: "\n" * m.group().count("\n"), "\n".join(rows)).split("\n") if language not in ("python", "ruby", "haskell") else rows
-    found, comment, start_of_doc, i, annotated = [], [], 0, 0, None
-    while i < len(rows):
-        line = rows[i]
-        if not line.strip():
-            i += 1
-            continue
-        block = re.match(r"/\*|\{-", line)
-        if block or _COMMENT.match(line):
-            first = i
-            close = {"/*": "*/", "{-": "-}"}.get(block.group()) if block else None
-            while close and close not in rows[i] and i + 1 < len(rows):
-                i += 1
-            body = rows[first : i + 1]
-            comment = comment + body if re.match(_DOC[language], body[0]) else []
-            i += 1
-            continue
-        if _ANNOTATION.match(line) and not head.match(line):
-            annotated = i if annotated is None else annotated
-            i += 1
-            continue
-        if language == "haskell" and re.match(r"[a-z_(][\w', ()]*::", line):  # a signature doesn't part doc and function
-            i += 1
-            while i < len(rows) and rows[i][:1] in (" ", "\t"):
-                i += 1
-            continue
-        m = head.match(line) if line[0] not in " \t" else None
-        end, depth = i, _depth(quiet[i])
-        while end + 1 < len(rows):
-            raw, following = rows[end + 1], quiet[end + 1]
-            if depth <= 0 and raw[:1] not in ("", " ", "\t") and _COMMENT.match(raw):
-                break
-            depth += _depth(following)
-            if following[:1] in ("", " ", "\t") or re.match(r"[})\]]|end\b|in\b|where\b|\{", following):
-                end += 1
-                continue
-            break
-        while end > i and not rows[end].strip():
-            end -= 1
-        if m:
-            groups = [g for g in m.groups() if g is not None]
-            kind, symbol = (groups[0], groups[1]) if len(groups) > 1 else ("function", groups[0])
-            symbol = "" if kind in _HEADS[language][1] else symbol
-            first = i if annotated is None else annotated
-            summary = _docstring(rows[i : end + 1]) if language == "python" else None
-            found.append((kind, symbol, first, end, summary or _plain(comment, language)))
-        comment, annotated = [], None
-        i = end + 1
-    return found
-
-
-def _depth(line: str) -> int:
-    return sum(map(line.count, "({[")) - sum(map(line.count, ")}]"))
-
-
-def _docstring(rows: list[str]) -> str | None:
-    m = re.match(r"[^\n]*?:\s*\n\s*[rRuU]?(\"\"\"|''')([\s\S]*?)\1", "\n".join(rows))
-    if not m:
-        return None
-    first, *rest = m.group(2).split("\n")
-    indent = min((len(x) - len(x.lstrip()) for x in rest if x.strip()), default=0)
-    return "\n".join([first.strip(), *(x[indent:].rstrip() if x.strip() else "" for x in rest)]).strip() or None
-
-
-def _plain(comment: list[str], language: str) -> str | None:
-    bare = [re.sub(r"^\s*(?:///?|#+|--\s?\|?|/\*+|\{-\s?\|?|\*+(?!/))\s?|\s*(?:\*+/|-\})\s*$", "", x).strip() for x in comment]
-    text = "\n".join(bare).strip()
-    if language == "csharp":
-        text = "\n".join(x for x in (re.sub(r"<[^>]*>", "", y).strip() for y in text.split("\n")) if x)
-    return text or None
-
-
 CHUNKS = "file_path string, language string, symbol string, content string, start_line int, end_line int, node_kind string, summary string"
 
 
 def parse_files(files: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
-    """Chunks of source files: definitions, or windows of the whole file where none is found.
+    """Chunks of source files: definitions, or windows of the whole file (of an empty kind) where none is found.
 
-    ``files`` has rel_path and bytes. Unreadable, binary and empty files and those of an unknown extension give no chunk.
+    ``files`` has rel_path and bytes; line ends become LF. Unreadable, binary and empty files and those of an unknown extension give no chunk.
     Definitions of more than ``max_lines`` lines are cut into windows. Columns as in ``CHUNKS``. Files are independent:
     nothing is shuffled.
     """
@@ -184,12 +73,13 @@ def parse_files(files: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
         for batch in batches:
             out = []
             for path, language, text in zip(batch["rel_path"], batch["language"], batch["text"]):
-                rows = re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text))
+                text = text.replace("\r\n", "\n")
                 found = definitions(language, text)
-                for kind, symbol, first, last, summary in found:
-                    out.append((path, language, symbol, "\n".join(rows[first : last + 1]), first, last, kind, summary))
+                for d in found:
+                    out.append((path, language, d.symbol, text[d.start : d.end], d.first, d.last, d.kind, d.summary))
                 if not found:
-                    out.append((path, language, "", "\n".join(rows), 0, len(rows) - 1, "window", None))
+                    text = text.removesuffix("\n")
+                    out.append((path, language, "", text, 0, text.count("\n"), "", None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
     return split_oversized(texts.mapInPandas(parse, CHUNKS), max_lines)

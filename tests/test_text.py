@@ -1,6 +1,4 @@
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
@@ -76,27 +74,6 @@ def test_comment_text(spark):
     assert one(spark, X.preview, "a\nb\nc\nd") == "  a\n  b\n  c"
 
 
-SAMPLES = {
-    "python": ('# lead\n@d\ndef f(x):\n    """Says it.\n      more\n    """\n    if x:\n        return 1\n\nclass A:\n    def m(self): pass\n', [("def", "f", 1, 7, "Says it.\nmore"), ("class", "A", 9, 10, None)]),
-    "go": ("package p\n\n// F does it.\nfunc (a *A) F() {\n\tx := `\n}\n`\n}\n\n// plain\n\ntype S struct {\n\ta int\n}\n", [("func", "F", 3, 7, "F does it."), ("type", "S", 11, 13, "plain")]),
-    "rust": ("use a;\n/// Doc one\n/// two\n#[x]\npub fn f() {\n}\n// no\nimpl A for B {\n  fn g() {}\n}\n", [("fn", "f", 3, 5, "Doc one\ntwo"), ("impl", "", 7, 9, None)]),
-    "haskell": ("module M where\n\n-- | Doc\nf :: Int -> Int\nf x =\n  x + 1\n-- no\ng y = y\n", [("function", "f", 4, 5, "Doc"), ("function", "g", 7, 7, None)]),
-    "ruby": ("require 'a'\n# Doc\ndef f(x)\n  x\nend\n\nclass A\n  def g; end\nend\n", [("def", "f", 2, 4, "Doc"), ("class", "A", 6, 8, None)]),
-    "csharp": ("/// <summary>Doc it</summary>\npublic class A {\n  int x;\n}\n", [("class", "A", 1, 3, "Doc it")]),
-}
-
-
-@pytest.mark.parametrize("language", sorted(SAMPLES))
-def test_definitions(language):
-    text, expected = SAMPLES[language]
-    assert [d for d in chunking.definitions(language, text) if d[1] not in ("module",)] == expected or chunking.definitions(language, text)[1:] == expected
-
-
-def test_ordinary_comment_is_no_summary():
-    for language, text in (("rust", "// x\nfn f() {}"), ("java", "// x\nclass A {}"), ("kotlin", "/* x */\nfun f() {}"), ("scala", "// x\ndef f = 1"), ("fsharp", "// x\nlet f = 1")):
-        assert [d[4] for d in chunking.definitions(language, text)] == [None]
-
-
 def test_parse_files(spark):
     rows = [
         ("a.py", b"def f():\n" + b"    x = 1\n" * 30, None), ("b.py", b"x = 1\ny = 2\n", None), ("c.py", b"\xff\xfe", None), ("d.py", b"", None),
@@ -106,10 +83,3 @@ def test_parse_files(spark):
     got = sorted((r.file_path, r.symbol, r.start_line, r.end_line) for r in chunking.parse_files(df, 20).collect())
     assert got == [("a.py", "f", 0, 19), ("a.py", "f", 20, 30), ("b.py", "", 0, 1), ("g.go", "F", 2, 3)]
     assert chunking.parse_files(df.limit(0)).count() == 0
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text("ab\n{}# \t\"'/*", max_size=80), st.sampled_from(sorted(SAMPLES)))
-def test_definitions_never_fail_and_never_overlap(text, language):
-    found = chunking.definitions(language, text)
-    assert all(a[3] < b[2] for a, b in zip(found, found[1:])) and all(d[2] <= d[3] for d in found)
