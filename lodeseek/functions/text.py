@@ -52,17 +52,40 @@ def strip_xml_tags(text: Column) -> Column:
     return F.array_join(F.filter(kept, lambda x: x != ""), "\n")
 
 
-def strip_line_markers(text: Column, marker: str) -> Column:
-    """Remove a comment marker (a regular expression) and blanks around the rest from each line; trim the whole."""
-    bare = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(F.trim(x), f"^(?:{marker})", "")))
-    return F.regexp_replace(F.array_join(bare, "\n"), r"(?U)^\s+|\s+\z", "")
+def trim(text: Column) -> Column:
+    """Without white space of any kind at both ends (``F.trim`` takes spaces only)."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-def strip_block_markers(text: Column) -> Column:
-    """Remove ``/** */`` and the asterisks that lead its lines; trim the whole."""
-    inner = F.regexp_replace(F.regexp_replace(text, r"^\s*/\*+", ""), r"\*+/\s*\z", "")
-    bare = F.transform(F.split(inner, "\n", -1), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\*+", "")))
-    return F.regexp_replace(F.array_join(bare, "\n"), r"(?U)^\s+|\s+\z", "")
+def strip_line_markers(comment: Column, language: Column) -> Column:
+    """A line comment without its marker, and without tags in C#.
+
+    The marker is chosen once, from the beginning of the comment; lines that begin otherwise keep what they have.
+    """
+    whole = trim(comment)
+    marker = (
+        F.when(language.isin("rust", "csharp", "fsharp") & whole.startswith("///"), "///")
+        .when(language.isin("python", "ruby"), "#")
+        .when((language == "haskell") & whole.startswith("-- |"), "-- |")
+        .when(language == "haskell", "--")
+        .otherwise("//")
+    )
+
+    def bare(line: Column) -> Column:
+        line = trim(line)
+        return trim(F.when(line.startswith(marker), line.substr(F.length(marker) + 1, F.length(line))).otherwise(line))
+
+    text = F.array_join(F.transform(F.split(whole, "\n", -1), bare), "\n")
+    return F.when(language == "csharp", strip_xml_tags(text)).otherwise(text)
+
+
+def strip_block_markers(comment: Column) -> Column:
+    """A block comment without its marks and the asterisk that leads each line; blank lines go."""
+    whole = trim(comment)
+    inner = F.when(whole.startswith("/**"), whole.substr(F.lit(4), F.length(whole))).otherwise(whole.substr(F.lit(3), F.length(whole)))
+    inner = F.when(inner.endswith("*/"), inner.substr(F.lit(1), F.length(inner) - 2)).otherwise(inner)
+    bare = F.transform(F.split(inner, "\n", -1), lambda x: trim(F.regexp_replace(trim(x), r"^\*", "")))
+    return F.array_join(F.filter(bare, lambda x: x != ""), "\n")
 
 
 def dedent(text: Column) -> Column:
@@ -72,7 +95,7 @@ def dedent(text: Column) -> Column:
     solid = F.filter(rest, lambda x: F.trim(x) != "")
     indent = F.coalesce(F.array_min(F.transform(solid, lambda x: F.length(x) - F.length(F.ltrim(x)))), F.lit(0))
     cut = F.transform(rest, lambda x: F.when(F.trim(x) == "", "").otherwise(x.substr(indent + 1, F.length(x))))
-    return F.regexp_replace(F.array_join(F.concat(F.array(F.trim(parts[0])), cut), "\n"), r"(?U)^\s+|\s+\z", "")
+    return trim(F.array_join(F.concat(F.array(F.trim(parts[0])), cut), "\n"))
 
 
 def extension(path: Column) -> Column:

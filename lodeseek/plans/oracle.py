@@ -46,6 +46,9 @@ _TEXT_OK = "(octet_length(bytes) > 0 AND TRY(decode(bytes)) IS NOT NULL)"
 _LINES = r"string_split(regexp_replace(regexp_replace({0}, '\r?\n\z', ''), '\r\n', chr(10), 'g'), chr(10))"
 
 
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
 def _windows(source: str, key: str, text: str, size: int) -> str:
     """Windows of the lines of ``text``: key, id, start_line, end_line, content."""
     return f"""
@@ -185,44 +188,52 @@ def core_oracle_sql() -> dict[str, str]:
             SELECT chunk_id, array_to_string([y FOR y IN [trim(regexp_replace(x, '<[^>]*(>|$)|>', '', 'g'))
                 FOR x IN string_split(content, chr(10))] IF y <> ''], chr(10)) AS text
             FROM chunks WHERE language = 'csharp'""",
-        "strip_comment_markers": """
-            WITH r AS (
-                SELECT chunk_id, [trim(x) FOR x IN string_split(content, chr(10)) IF starts_with(trim(x), '//')] AS ls
-                FROM chunks WHERE language IN ('go', 'rust')
+        "strip_comment_markers": rf"""
+            WITH m AS (
+                SELECT chunk_id, language, content,
+                    CASE WHEN language IN ('python', 'ruby') THEN '#' WHEN language = 'haskell' THEN '--' ELSE '//' END AS mark
+                FROM chunks WHERE language IS NOT NULL
+            ), r AS (
+                SELECT chunk_id, language, mark, [{_TRIM.format('x')} FOR x IN string_split(content, chr(10)) IF starts_with({_TRIM.format('x')}, mark)] AS ls FROM m
+            ), l AS (SELECT chunk_id, language, mark, unnest(ls) AS line, unnest(range(0, len(ls))) AS no FROM r),
+            s AS (
+                SELECT chunk_id, language, no, {_TRIM.format("""
+                    CASE WHEN language IN ('rust', 'csharp', 'fsharp') AND starts_with(line, '///') THEN line[4:]
+                         WHEN language = 'haskell' AND starts_with(line, '-- |') THEN line[5:] ELSE line[length(mark) + 1 :] END""")} AS bare FROM l
             )
-            SELECT chunk_id, regexp_replace(array_to_string([trim(regexp_replace(x, '^(///|//)', '')) FOR x IN ls], chr(10)),
-                '^\\s+|\\s+$', '', 'g') AS text FROM r WHERE len(ls) > 0""".replace("\\\\", "\\"),
-        "strip_block_comments": r"""
+            SELECT chunk_id, string_agg(CASE WHEN language = 'csharp'
+                THEN trim(regexp_replace(bare, '<[^>]*(>|$)|>', '', 'g')) ELSE bare END, chr(10) ORDER BY no) AS text FROM s GROUP BY 1""",
+        "strip_block_comments": rf"""
             WITH b AS (
-                SELECT chunk_id, regexp_extract(content, '(?s)(/\*\*.*?\*/)', 1) AS b FROM chunks WHERE language IN ('java', 'kotlin')
-            ), i AS (
-                SELECT chunk_id, regexp_replace(regexp_replace(b, '^\s*/\*+', ''), '\*+/\s*$', '') AS t FROM b WHERE b <> ''
-            )
-            SELECT chunk_id, regexp_replace(array_to_string([trim(regexp_replace(trim(x), '^\*+', ''))
-                FOR x IN string_split(t, chr(10))], chr(10)), '^\s+|\s+$', '', 'g') AS text FROM i""",
-        "dedent_docstring": r"""
-            WITH d AS (
-                SELECT chunk_id, string_split(regexp_extract(content, '(?s)\"\"\"(.*?)\"\"\"', 1), chr(10)) AS ls
-                FROM chunks WHERE language = 'python'
-            ), i AS (
-                SELECT *, coalesce(list_min([length(x) - length(ltrim(x)) FOR x IN ls[2:] IF trim(x) <> '']), 0) AS n FROM d
-                WHERE array_to_string(ls, chr(10)) <> ''
-            )
-            SELECT chunk_id, regexp_replace(array_to_string(list_concat([trim(ls[1])],
-                [CASE WHEN trim(x) = '' THEN '' ELSE x[n + 1 :] END FOR x IN ls[2:]]), chr(10)), '^\s+|\s+$', '', 'g') AS text
+                SELECT chunk_id, regexp_extract_all(content, '(?s)/\*.*?\*/') AS bs FROM chunks
+                WHERE language IN ('rust', 'java', 'csharp', 'javascript', 'typescript', 'tsx', 'go', 'scala', 'fsharp', 'kotlin')
+            ), u AS (SELECT chunk_id, unnest(bs) AS b, unnest(range(0, len(bs)))::INT AS no FROM b),
+            i AS (SELECT chunk_id, no, CASE WHEN starts_with(b, '/**') THEN b[4:] ELSE b[3:] END AS t FROM u),
+            e AS (SELECT chunk_id, no, CASE WHEN ends_with(t, '*/') THEN t[: length(t) - 2] ELSE t END AS t FROM i)
+            SELECT chunk_id, no, array_to_string([y FOR y IN [{_TRIM.format(f"regexp_replace({_TRIM.format('x')}, '^[*]', '')")}
+                FOR x IN string_split(t, chr(10))] IF y <> ''], chr(10)) AS text FROM e""",
+        "dedent_docstring": rf"""
+            WITH b AS (
+                SELECT chunk_id, regexp_extract_all(content, '(?s)\"\"\".*?\"\"\"|''''''.*?''''''') AS ds FROM chunks WHERE language = 'python'
+            ), u AS (SELECT chunk_id, unnest(ds) AS d, unnest(range(0, len(ds)))::INT AS no FROM b),
+            d AS (SELECT chunk_id, no, string_split(d[4 : length(d) - 3], chr(10)) AS ls FROM u),
+            i AS (SELECT *, coalesce(list_min([length(x) - length(ltrim(x)) FOR x IN ls[2:] IF trim(x) <> '']), 0) AS n FROM d)
+            SELECT chunk_id, no, {_TRIM.format("""array_to_string(list_concat([trim(ls[1])],
+                [CASE WHEN trim(x) = '' THEN '' ELSE x[n + 1 :] END FOR x IN ls[2:]]), chr(10))""")} AS text
             FROM i""".replace('\\"', '"'),
-        "doc_comment_runs": """
+        "doc_comment_runs": r"""
             WITH l AS (
-                SELECT chunk_id, unnest(range(0, len(ls)))::INT AS no, unnest(ls) AS line
-                FROM (SELECT chunk_id, string_split(content, chr(10)) AS ls FROM chunks WHERE language = 'go')
-            ), r AS (SELECT *, starts_with(line, '//') AS remark FROM l),
+                SELECT chunk_id, unnest(range(0, len(ls)))::INT AS no, unnest(ls) AS line,
+                    CASE WHEN language = 'go' THEN '//' WHEN language IN ('rust', 'fsharp') THEN '///' ELSE '#' END AS mark
+                FROM (SELECT chunk_id, language, string_split(content, chr(10)) AS ls FROM chunks WHERE language IN ('go', 'rust', 'fsharp', 'python', 'ruby'))
+            ), r AS (SELECT *, starts_with(ltrim(line), mark) AS remark FROM l),
             o AS (
                 SELECT *, lag(remark) OVER w AS before,
                     CASE WHEN remark AND NOT coalesce(lag(remark) OVER w, false) THEN no END AS opens
                 FROM r WINDOW w AS (PARTITION BY chunk_id ORDER BY no)
             ), m AS (SELECT *, max(opens) OVER (PARTITION BY chunk_id ORDER BY no) AS run FROM o)
             SELECT chunk_id, no AS function_line, run AS first_line, no - run AS lines
-            FROM m WHERE starts_with(line, 'func ') AND before""",
+            FROM m WHERE regexp_matches(line, '^\s*(pub(\([a-z]+\))? )?(async )?(fn|func|def|let) ') AND before""",
         "event_kinds": """
             SELECT kind, count(*) AS events, count(DISTINCT path) AS files FROM change_event
             WHERE kind IN ('create', 'modify', 'remove') AND path IS NOT NULL AND ts IS NOT NULL GROUP BY 1""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -271,37 +271,51 @@ def strip_xml_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).where("language = 'csharp'").select("chunk_id", X.strip_xml_tags(F.col("content")).alias("text"))
 
 
+#: How lines of comments begin, by language; the others use "//".
+_LINE_COMMENTS = {"python": "#", "ruby": "#", "haskell": "--"}
+#: Lines that count as documentation above a function, for languages that document by line.
+_DOC_LINES = {"go": "//", "rust": "///", "fsharp": "///", "python": "#", "ruby": "#"}
+_BLOCK_LANGUAGES = ("rust", "java", "csharp", "javascript", "typescript", "tsx", "go", "scala", "fsharp", "kotlin")
+
+
+def _by_language(values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("language"))
+
+
 def strip_comment_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comment lines of Go and Rust contents without their markers."""
-    rows = _chunks(spark, sf_dir).where(F.col("language").isin("go", "rust"))
-    remarks = F.filter(F.split("content", "\n", -1), lambda x: F.trim(x).startswith("//"))
-    stripped = X.strip_line_markers(F.array_join(remarks, "\n"), "///|//")
-    return rows.where(F.size(remarks) > 0).select("chunk_id", stripped.alias("text"))
+    """The lines of each content that are comments, without their markers."""
+    rows = _chunks(spark, sf_dir).where(F.col("language").isNotNull())
+    mark = F.coalesce(_by_language(_LINE_COMMENTS), F.lit("//"))
+    rows = rows.select("chunk_id", "language", F.filter(F.split("content", "\n", -1), lambda x: X.trim(x).startswith(mark)).alias("remarks"))
+    bare = F.transform("remarks", lambda x: X.strip_line_markers(x, F.col("language")))
+    return rows.where(F.size("remarks") > 0).select("chunk_id", F.array_join(bare, "\n").alias("text"))
 
 
 def strip_block_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first block comment of each Java and Kotlin content without its markers."""
-    rows = _chunks(spark, sf_dir).where(F.col("language").isin("java", "kotlin"))
-    block = F.regexp_extract("content", r"(?s)(/\*\*.*?\*/)", 1)
-    return rows.where(block != "").select("chunk_id", X.strip_block_markers(block).alias("text"))
+    """Every block comment of each content without its markers, numbered from 0."""
+    rows = _chunks(spark, sf_dir).where(F.col("language").isin(*_BLOCK_LANGUAGES))
+    blocks = F.regexp_extract_all("content", F.lit(r"(?s)/\*.*?\*/"), F.lit(0))
+    return rows.select("chunk_id", F.posexplode(blocks).alias("no", "block")).select("chunk_id", "no", X.strip_block_markers(F.col("block")).alias("text"))
 
 
 def dedent_docstring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first docstring of each Python content, dedented."""
+    """Every text in triple quotes of each Python content, dedented, numbered from 0."""
     rows = _chunks(spark, sf_dir).where("language = 'python'")
-    doc = F.regexp_extract("content", r'(?s)"""(.*?)"""', 1)
-    return rows.where(doc != "").select("chunk_id", X.dedent(doc).alias("text"))
+    quoted = F.regexp_extract_all("content", F.lit("(?s)\"\"\".*?\"\"\"|'''.*?'''"), F.lit(0))
+    found = rows.select("chunk_id", F.posexplode(quoted).alias("no", "doc"))
+    return found.select("chunk_id", "no", X.dedent(F.col("doc").substr(F.lit(4), F.length("doc") - 6)).alias("text"))
 
 
 def doc_comment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of comment lines in Go contents that stand right above a function: gaps and islands over lines."""
-    rows = _chunks(spark, sf_dir).where("language = 'go'").select("chunk_id", F.posexplode(F.split("content", "\n", -1)).alias("no", "line"))
-    rows = rows.withColumn("remark", F.col("line").startswith("//"))
+    """Runs of documentation lines that stand right above a function: gaps and islands over lines."""
+    rows = _chunks(spark, sf_dir).where(F.col("language").isin(*_DOC_LINES))
+    rows = rows.select("chunk_id", _by_language(_DOC_LINES).alias("mark"), F.posexplode(F.split("content", "\n", -1)).alias("no", "line"))
+    rows = rows.withColumn("remark", F.ltrim("line").startswith(F.col("mark")))
     order = W.partitionBy("chunk_id").orderBy("no")
     opens = F.when(F.col("remark") & ~F.coalesce(F.lag("remark").over(order), F.lit(False)), F.col("no"))
     rows = rows.withColumn("run", F.max(opens).over(order.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.lag("remark").over(order)).withColumn("run_before", F.lag("run").over(order))
-    found = rows.where(F.col("line").startswith("func ") & F.col("before"))
+    found = rows.where(F.col("line").rlike(r"^\s*(pub(\([a-z]+\))? )?(async )?(fn|func|def|let) ") & F.col("before"))
     return found.select("chunk_id", F.col("no").alias("function_line"), F.col("run_before").alias("first_line"), (F.col("no") - F.col("run_before")).alias("lines"))
 
 

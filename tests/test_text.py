@@ -68,8 +68,12 @@ def test_extension_and_language(spark):
 
 def test_comment_text(spark):
     assert one(spark, X.strip_xml_tags, "<a>x</a> y\n<summary>\nb > c <d") == "x y\nb  c"
-    assert one(spark, lambda v: X.strip_line_markers(v, "///|//"), "/// a\n//b\n ") == "a\nb"
-    assert one(spark, X.strip_block_markers, "/** a\n * b\n */") == "a\nb"
+    line = lambda language: lambda v: X.strip_line_markers(v, F.lit(language))
+    assert one(spark, line("rust"), "/// a\n//b\n ") == "a\n//b" and one(spark, line("go"), "// a\n//  b") == "a\nb"
+    assert one(spark, line("haskell"), "-- | a\n-- b") == "a\n-- b" and one(spark, line("haskell"), "-- a\n--b") == "a\nb"
+    assert one(spark, line("ruby"), "# a\n\t#b") == "a\nb" and one(spark, line("csharp"), "/// <b>a</b> c\n/// </x>") == "a c"
+    assert one(spark, X.strip_block_markers, "/** a\n *\n ** b *\n\t*/") == "a\n* b *" and one(spark, X.strip_block_markers, "/* a */") == "a"
+    assert one(spark, X.strip_block_markers, None) is None and one(spark, X.dedent, None) is None
     assert one(spark, X.dedent, "Title\n      one\n        two\n\n    ") == "Title\none\n  two"
     assert one(spark, X.preview, "a\nb\nc\nd") == "  a\n  b\n  c"
 
