@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.embed import embed
 from lodeseek.operators.chunking import MAX_LINES, parse_files
-from lodeseek.operators.refresh import classify, content_hash, upsert
+from lodeseek.operators.refresh import classify, content_hash
 from lodeseek.sources.snapshots import Store
+from lodeseek.sources.tables import cut_lineage
 
 
 def embedded_chunks(files: DataFrame, dim: int, max_lines: int = MAX_LINES) -> DataFrame:
@@ -34,16 +35,14 @@ def embedded_chunks(files: DataFrame, dim: int, max_lines: int = MAX_LINES) -> D
 def refresh(listing: DataFrame, store: Store, dim: int = 64, max_lines: int = MAX_LINES) -> DataFrame:
     """Bring the table to the state of ``listing`` (rel_path, bytes); returns status, files.
 
-    Only new and changed files are parsed and embedded. If nothing changed, nothing is written.
+    Only new and changed files are parsed and embedded, and only the partitions of touched files are rewritten. If nothing
+    changed, nothing is written.
     """
-    stored = store.read()
-    status = classify(listing, stored).cache()
-    counts = status.groupBy("status").agg(F.count("*").alias("files"))
+    status = cut_lineage(classify(listing, store.read()))  # before the table changes
     touched = status.where(F.col("status").isin("new", "changed", "removed"))
-    if store.pointer() is None or not touched.isEmpty():
+    if not store.exists() or not touched.isEmpty():
         fresh = listing.join(
             touched.where("status != 'removed'").select(F.col("file_path").alias("rel_path")), "rel_path", "left_semi"
         )
-        rows = embedded_chunks(fresh, dim, max_lines)
-        store.commit(upsert(stored, rows, touched.select("file_path")), dim)
-    return counts
+        store.upsert(embedded_chunks(fresh, dim, max_lines), touched, dim)
+    return status.groupBy("status").agg(F.count("*").alias("files"))

@@ -1,19 +1,12 @@
-"""A chunk table as Parquet snapshots with a pointer that is replaced in one step.
-
-A Parquet path can't be overwritten while it is read, so each state is written beside the last one and becomes visible
-when the pointer is renamed over the old pointer. The last two states stay.
-"""
+"""The chunk table: Parquet partitioned by a hash of the file's path, of which a refresh rewrites only what it touches."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINTER = "current.json"
-
 
 def chunk_schema() -> T.StructType:
     """The columns of the chunk table; Spark has no list of fixed length, so the length is checked on writing."""
@@ -27,64 +20,79 @@ def chunk_schema() -> T.StructType:
 
 
 class Store:
-    """A table below ``path``, on any file system that Spark can reach."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
-        self.spark, self.path = spark, path
-        self.schema = schema or chunk_schema()
-        jvm = spark.sparkContext._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def pointer(self) -> dict | None:
-        """What the pointer says: version, dim, scope; None if there is no table."""
-        at = self._hadoop.Path(f"{self.path}/{POINTER}")
-        if not self._fs.exists(at):
+    """A table below ``path``, on any file system that Spark can reach.
+
+    All rows of a file are in one of ``buckets`` partitions; choose their number so that one is a convenient piece of work
+    (``files`` Parquet files each). Spark replaces the partitions that are written in one commit and leaves the others
+    alone. It can't replace one by nothing, so each written partition has a row without an id, which reading leaves out.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 256, files: int = 4):
+        self.spark, self.path, self.buckets, self.files = spark, path, buckets, files
+        self.schema = chunk_schema()
+
+    def bucket(self, file_path: Column) -> Column:
+        return F.pmod(F.xxhash64(file_path), F.lit(self.buckets)).cast("int")
+
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
+        except AnalysisException:  # no such path
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/{POINTER}", wholetext=True).first()[0])
+
+    def exists(self) -> bool:
+        return self._stored() is not None
 
     def read(self) -> DataFrame:
-        """The current state; an empty table with the schema if there is none."""
-        now = self.pointer()
-        if now is None:
+        """All rows; an empty table with the schema if there is none."""
+        stored = self._stored()
+        if stored is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={now['version']}")
+        return stored.where(F.col("id").isNotNull()).drop("bucket")
+
+    def dim(self) -> int | None:
+        """Elements of the stored vectors; None for an empty table."""
+        first = self.read().select(F.size("vector").alias("dim")).first()
+        return first.dim if first else None
+
+    def _write(self, rows: DataFrame, buckets: DataFrame, dim: int | None, mode: str) -> None:
+        dim = dim or self.dim()
+        rows = rows.select(*self.schema.fieldNames()).withColumn("bucket", self.bucket(F.col("file_path")))
+        if dim:
+            wrong = F.coalesce(F.size("vector") != dim, F.lit(True)) | F.coalesce(F.size("summary_vector") != dim, F.lit(False))
+            told = F.raise_error(F.concat(F.lit(f"a vector isn't of {dim} elements: "), F.coalesce("id", F.lit("?"))))
+            rows = rows.withColumn("vector", F.when(wrong, told.cast("array<float>")).otherwise(F.col("vector")))
+        rows = rows.unionByName(buckets.select("bucket"), allowMissingColumns=True)
+        part = F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(self.files))
+        writer = rows.repartition("bucket", part).write.mode("overwrite").option("partitionOverwriteMode", mode)
+        writer.partitionBy("bucket").parquet(self.path)
 
-    def commit(self, rows: DataFrame, dim: int | None = None, scope: dict | None = None) -> int:
-        """Write ``rows`` as the next state and make it current; returns its version.
+    def replace(self, rows: DataFrame, dim: int | None = None) -> None:
+        """Make ``rows`` the whole table. Vectors that aren't all of ``dim`` elements (else: as those stored) are an error,
+        which leaves the table as it is."""
+        self._write(rows, self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket")), dim, "dynamic")
 
-        ``dim`` is kept from the state before if it isn't given; vectors of another length are an error and leave the
-        current state as it is.
+    def upsert(self, fresh: DataFrame, touched: DataFrame, dim: int | None = None) -> None:
+        """Put ``fresh`` in the place of all rows of the files in ``touched`` (file_path), which has those of ``fresh``.
+
+        Only the partitions of these files are read and written. The driver sees their numbers, not the files.
         """
-        now = self.pointer() or {"version": 0}
-        dim = dim or now.get("dim")
-        version = now["version"] + 1
-        rows = rows.select(*self.schema.fieldNames())
-        if dim and "vector" in self.schema.fieldNames():
-            wrong = F.coalesce(F.size("vector") != dim, F.lit(True)) | (F.size("summary_vector") != dim)
-            told = F.raise_error(F.concat(F.lit(f"a vector isn't of {dim} elements: "), F.coalesce("id", F.lit("?"))))
-            rows = rows.withColumn("vector", F.when(F.coalesce(wrong, F.lit(False)), told.cast("array<float>")).otherwise(F.col("vector")))
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self._point({"version": version, "dim": dim, "scope": scope or now.get("scope")})
-        for old in range(max(1, version - 3), version - 1):
-            self._fs.delete(self._hadoop.Path(f"{self.path}/v={old}"), True)
-        return version
-
-    def _point(self, to: dict) -> None:
-        fresh, current = self._hadoop.Path(f"{self.path}/{POINTER}.new"), self._hadoop.Path(f"{self.path}/{POINTER}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(to).encode()))
-        out.close()
-        jvm = self.spark.sparkContext._jvm
-        overwrite = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
-        overwrite[0] = self._hadoop.Options.Rename.OVERWRITE
-        context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(fresh, current, overwrite)
-
-    def clear(self) -> int:
-        """An empty state."""
-        return self.commit(self.spark.createDataFrame([], self.schema))
+        stored = self._stored()
+        buckets = touched.select(self.bucket(F.col("file_path")).alias("bucket")).distinct()
+        if stored is None:
+            self.replace(fresh, dim)
+            return
+        named = [r.bucket for r in buckets.collect()]
+        kept = stored.where(F.col("bucket").isin(named) & F.col("id").isNotNull()).drop("bucket")
+        kept = kept.join(touched.select("file_path").distinct(), "file_path", "left_anti")
+        listed = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket")).where(F.col("bucket").isin(named))
+        self._write(kept.unionByName(fresh.select(*kept.columns)), listed, dim, "dynamic")
+
+    def clear(self) -> None:
+        """An empty table."""
+        self.replace(self.spark.createDataFrame([], self.schema))
 
     def drop(self) -> None:
-        """Forget the table with all its states."""
-        self._fs.delete(self._hadoop.Path(self.path), True)
+        """Forget the table."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,11 +13,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in ``spark.checkpoint.dir``; make one only where none is set (tests)."""
+    """Use the folder that the cluster names in ``spark.checkpoint.dir``. Where none is set, make one, but only if all of
+    Spark runs on this machine (as in tests): a folder of one machine of a cluster is lost with it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeseek-checkpoint-"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.operators import bursts, refresh
 from lodeseek.plans.indexer import refresh as run_refresh
-from lodeseek.sources.events import _Reader
+from lodeseek.sources.events import Watched, watch
 from lodeseek.sources.listing import list_files, read_files
 from lodeseek.sources.snapshots import Store
 from lodeseek.streaming.debounce import debounced, refresh_on
@@ -45,29 +45,33 @@ def test_index_is_kept_current(spark, tmp_path):
     (root / ".git").mkdir()
     (root / ".git/h.py").write_text("x = 1\n")
     (root / "note.txt").write_text("x\n")
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), buckets=8)
+    written = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
     look = lambda: read_files(list_files(spark, str(root)))
     counts = {r.status: r.files for r in run_refresh(look(), store).collect()}
     assert counts == {"new": 2} and {r.id for r in store.read().collect()} == {"src/a.py:0", "__init__.py:0"}
-    assert store.pointer()["dim"] == 64
+    assert store.dim() == 64
+    first = written()
     run_refresh(look(), store)
-    assert store.pointer()["version"] == 1  # nothing changed, nothing written
+    assert written() == first  # nothing changed, nothing written
     (root / "src/a.py").write_text("def g():\n    return 2\n\ndef h():\n    return 3\n")
     (root / "__init__.py").unlink()
     (root / "src/o'b.go").write_text("package p\n\nfunc F() {\n}\n")
     counts = {r.status: r.files for r in run_refresh(look(), store).collect()}
+    assert counts == {"new": 1, "changed": 1, "removed": 1}
+    assert 2 <= len({p.parent.name for p in written().keys() & first.keys()}) < 8  # partitions of other files are left alone
     assert {r.symbol for r in store.read().collect()} == {"g", "h", "F"}
     again = Store(spark, str(tmp_path / "other"))
     run_refresh(look(), again)
     rows = lambda s: sorted(tuple(r)[:9] for r in s.read().collect())
     assert rows(store) == rows(again)
     with pytest.raises(Exception, match="64 elements"):
-        store.commit(store.read().withColumn("vector", F.slice("vector", 1, 3)))
+        store.replace(store.read().withColumn("vector", F.slice("vector", 1, 3)))
     assert store.read().count() == 3
     store.clear()
     assert store.read().count() == 0
     store.drop()
-    assert store.pointer() is None and store.read().count() == 0
+    assert not store.exists() and store.read().count() == 0
 
 
 EVENTS = "path string, kind string, ts timestamp, start long"
@@ -124,16 +128,43 @@ def test_refresh_survives_a_failure(spark, tmp_path):
     assert seen == ["a/x"] and query.exception() is None
 
 
-def test_directory_changes(tmp_path):
-    (tmp_path / "a.py").write_text("1")
-    reader = _Reader(str(tmp_path))
-    start = reader.initialOffset()
-    assert list(reader.read(start)[0]) == []
-    (tmp_path / "a.py").write_text("12")
-    (tmp_path / "b.py").write_text("1")
-    rows, end = reader.read(start)
-    assert [(p, k) for p, k, _ in rows] == [("a.py", "modify"), ("b.py", "create")]
-    (tmp_path / "a.py").unlink()
-    rows, last = reader.read(end)
-    assert [(p, k) for p, k, _ in rows] == [("a.py", "remove")]
-    assert [(p, k) for p, k, _ in reader.readBetweenOffsets(start, end)] == [("a.py", "modify"), ("b.py", "create")]
+def test_listing_prunes_and_spreads(spark, tmp_path):
+    for path in ("a/b/c/x.py", "a/node_modules/q/y.py", "a/.h/z.py", "a/.z.py", "top.go", "a/b/n.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("1")
+    (tmp_path / "a/link.py").symlink_to(tmp_path / "top.go")
+    (tmp_path / "a/node_modules").chmod(0)  # would be an error to enter
+    found = {r.rel_path: r for r in list_files(spark, str(tmp_path), exclude=["**/node_modules/**"]).collect()}
+    (tmp_path / "a/node_modules").chmod(0o755)
+    assert set(found) == {"a/b/c/x.py", "a/.z.py", "top.go"}
+    assert found["top.go"].abs_path == str(tmp_path / "top.go") and found["top.go"].size == 1
+    assert list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_directory_changes(spark, tmp_path):
+    root, seen = tmp_path / "root", []
+    root.mkdir()
+
+    def told(df):
+        seen.append(sorted((r.path, r.kind) for r in df.collect()))
+
+    look = lambda handle=told: Watched(spark, str(root), str(tmp_path / "state")).look(handle)
+    assert look() and not look() and seen == []
+    (root / "a.py").write_text("1")
+    (root / "c.py").write_text("1")
+    assert look() and seen.pop() == [("a.py", "create"), ("c.py", "create")]
+    (root / "a.py").write_text("12")
+    (root / "b.py").write_text("1")
+    (root / "c.py").unlink()
+    with pytest.raises(RuntimeError):
+        look(lambda df: (_ for _ in ()).throw(RuntimeError("told on purpose")))
+    assert look() and seen.pop() == [("a.py", "modify"), ("b.py", "create"), ("c.py", "remove")]
+    assert not look()
+    (root / "b.py").unlink()
+    query = watch(Watched(spark, str(root), str(tmp_path / "state")), told, str(tmp_path / "ticks"))
+    for _ in range(120):
+        if seen:
+            break
+        query.awaitTermination(1)
+    query.stop()
+    assert seen == [[("b.py", "remove")]]
