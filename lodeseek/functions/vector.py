@@ -1,7 +1,11 @@
-"""Vector expressions on ``array<float>`` columns, evaluated in double and inside the JVM."""
+"""Vector expressions on ``array<float>`` columns, evaluated in double: inside the JVM, or as matrices in Arrow batches."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +45,23 @@ def usable(v: Column, dim: int) -> Column:
 
 
 METRICS = {"euclidean": euclidean, "squared_l2": squared_l2}
+
+
+def distance_to(v: Column, query: list[float], metric: str = "euclidean") -> Column:
+    """Distance of ``v`` to one vector of the same length, by Arrow batches: the batch's elements are one matrix.
+
+    In double precision, like the JVM's form of the metric, which goes element by element. A null element gives NaN; rows
+    that are null or of another length have to be left out before.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    target = np.array([math.nan if x is None else x for x in query], np.float64)
+
+    @F.arrow_udf("double")
+    def distances(batch: pa.Array) -> pa.Array:
+        matrix = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), len(target))
+        matrix -= target
+        squared = np.einsum("ij,ij->i", matrix, matrix)
+        return pa.array(squared if metric == "squared_l2" else np.sqrt(squared))
+
+    return distances(v)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import preview
-from lodeseek.functions.vector import METRICS
+from lodeseek.functions.vector import distance_to
 
 #: Added to a rank before it is inverted.
 FUSION_CONSTANT = 60
@@ -23,7 +23,7 @@ def query_vector(vectors: DataFrame, id_col: str, vec_col: str, wanted: int) ->
 
 def knn(
     vectors: DataFrame,
-    query: DataFrame | list[float],
+    query: DataFrame | list[float] | None,
     id_col: str,
     vec_col: str,
     k: int = 10,
@@ -32,21 +32,28 @@ def knn(
 ) -> DataFrame:
     """The ``k`` rows closest to one query vector: all their columns and ``score``, the distance.
 
-    ``query`` is a list of numbers or a one-row DataFrame with the column ``_query``. ``where`` is applied before
-    the ranking. Rows whose vector is null, holds a null or NaN, or has another length than the query are left out (a
-    null distance would sort first). Equal distances are ordered by ``id_col``. An empty table or query gives no rows.
-    The one-row query is broadcast; ranking is a per-partition top-k followed by a merge of k rows a partition.
+    ``query`` is a list of numbers, None, or a DataFrame whose first row has the column ``_query``: one vector, which the
+    driver reads. ``where`` is applied before the ranking. Rows whose vector is null, holds a null or NaN, or has another
+    length than the query are left out (a null distance would sort first). Equal distances are ordered by ``id_col``. An
+    empty table or query gives no rows.
+
+    Only id and vector are ranked, by a top-k in each partition and a merge of k rows a partition; the other columns are
+    fetched for the k rows that are left.
     """
-    rows = vectors if where is None else vectors.where(where)
-    rows = rows.where(F.col(vec_col).isNotNull())
     if isinstance(query, DataFrame):
-        rows = rows.crossJoin(F.broadcast(query.select("_query").limit(1)))
-        target = F.col("_query")
-    else:
-        target = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.where(F.size(vec_col) == F.size(target)).withColumn("score", METRICS[metric](F.col(vec_col), target))
-    usable = F.col("score").isNotNull() & ~F.isnan("score")
-    return scored.drop("_query").where(usable).orderBy("score", id_col).limit(k)
+        first = query.select("_query").first()
+        query = first and first[0]
+    rows = vectors if where is None else vectors.where(where)
+    if query is None:
+        return rows.limit(0).withColumn("score", F.lit(0.0))
+    narrow = rows.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == len(query))).select(id_col, vec_col)
+    scored = narrow.withColumn("score", distance_to(F.col(vec_col), query, metric)).where(~F.isnan("score"))
+    best = scored.orderBy("score", id_col).limit(k)
+    if set(vectors.columns) == {id_col, vec_col}:
+        return best
+    # Rows with the same id and vector have the same score; all of them are fetched, and k are kept.
+    found = rows.join(F.broadcast(best.dropDuplicates([id_col, vec_col])), [id_col, vec_col])  # k rows
+    return found.select(*vectors.columns, "score").orderBy("score", id_col).limit(k)
 
 
 def min_score(ranked: DataFrame, least: float | None) -> DataFrame:

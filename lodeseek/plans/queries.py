@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
 from lodeseek.functions import vector as V
-from lodeseek.functions.embed import embed
+from lodeseek.functions.embed import QUERY_PREFIX, embed
 from lodeseek.operators import bursts, chunking, refresh, search
 from lodeseek.sources.tables import read_table
 
@@ -26,10 +26,10 @@ def _usable(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
     return _chunks(spark, sf_dir).where(V.usable(F.col(field), DIM))
 
 
-def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector of the first row whose vector can be used."""
-    first = _usable(spark, sf_dir, "vector").orderBy("chunk_id").limit(1)
-    return first.select(F.col("vector").alias("_query"))
+def _query(spark: SparkSession, sf_dir: str) -> list[float] | None:
+    """The vector of the first row whose vector can be used: one vector, read once for all rankings of a query."""
+    first = _usable(spark, sf_dir, "vector").agg(F.min_by("vector", "chunk_id")).first()
+    return first[0]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,12 @@ def render_text_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(hits, "score", "chunk_id").select("rank", search.text_block("dist").alias("block"))
 
 
+def render_query_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fused result with its summary and the first lines of its content."""
+    out = search.ranked(_fused(spark, sf_dir), F.desc("score"), "id")
+    return out.select("rank", search.text_block("rrf").alias("block"))
+
+
 def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.ranked(_fused(spark, sf_dir), F.desc("score"), "id")
     return out.select("rank", search.json_object().alias("json"))
@@ -119,9 +125,9 @@ def preview_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents closest to a query text under hashed embeddings."""
+    """Documents closest to a query text under hashed embeddings; only the query has the prefix for queries."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text"), DIM).alias("vector"))
-    query = spark.range(1).select(embed(F.lit("which chunks carry a summary after the last change"), DIM).alias("_query"))
+    query = spark.range(1).select(embed(F.lit("which chunks carry a summary after the last change"), DIM, QUERY_PREFIX).alias("_query"))
     hits = search.knn(documents, query, "doc_id", "vector")
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -339,7 +345,7 @@ def debounce_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         knn_embeddings, knn_content, knn_prefiltered, knn_squared, rrf_fused, find_min_score, find_max_distance, query_min_score,
-        ranked_results, render_text_line, render_text_block, render_json, preview_lines, hash_embed_search, vector_l2_normalize,
+        ranked_results, render_text_line, render_text_block, render_query_block, render_json, preview_lines, hash_embed_search, vector_l2_normalize,
         vector_dim_check, file_status, refresh_counters, upsert_snapshot, delete_file_rows, escape_free_lookup, content_hash,
         index_stats, valid_utf8_filter, list_files, glob_include, glob_exclude, extension_filter, default_listing, language_dispatch,
         line_windows, file_windows, oversize_split, strip_xml_tags, strip_comment_markers, strip_block_comments, dedent_docstring,

@@ -34,9 +34,9 @@ def test_query_says_the_same_as_sql(spark, small, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == expected
 
 
-def test_other_queries_run(spark, small):
-    for name in sorted(set(entry.queries()) - set(SQL)):
-        assert entry.queries()[name](spark, small).columns, name
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
+def test_other_queries_run(spark, small, name):
+    assert entry.queries()[name](spark, small).count() >= 0
 
 
 def test_flagship(spark):
