@@ -52,8 +52,10 @@ def lengths(text: Column) -> dict[str, Column]:
 
 
 def without_mark(text: Column) -> Column:
-    """``text`` without a mark of omission at its end; only ends that have one are rewritten."""
-    return F.when(F.right(text, F.lit(12)).rlike(OMISSION), F.regexp_replace(text, OMISSION, "")).otherwise(text)
+    """``text`` without a mark of omission at its end, or without what stands for a character that was cut apart; only
+    ends that have one are rewritten."""
+    marked, broken = F.right(text, F.lit(12)).rlike(OMISSION), F.endswith(text, F.lit("\ufffd"))
+    return F.when(marked, F.regexp_replace(text, OMISSION, "")).when(broken, F.rtrim(text, F.lit("\ufffd"))).otherwise(text)
 
 
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.MULTILINE)
@@ -68,6 +70,7 @@ _REFERENCE = re.compile(
 )
 _REMARK = re.compile(r"(?:[A-Z]{2,6}|[:;=8xX][-^o']?[()DPpO/|\\\]]|\+1|-1|\W{1,4})\Z")
 _BRACKETED = re.compile(r"[(\[][^()\[\]]*[)\]]\Z")
+_SENTENCE = re.compile(r"(?<=[.?!]) ")
 _SIGNATURE = re.compile(r"(?:--|—|–|/|~|@)\s?\S.*\Z")
 _GREETING = re.compile(r"[^\n.?!]{1,30},\Z")
 
@@ -97,12 +100,13 @@ def ending(text: str) -> str:
         loose = siblings and sum(not _SENTENCE_END.search(s) for s in siblings) > len(siblings) / 2
         short = 0 < len(words) <= 3 and not words[0][0].isupper()
         return "weak" if loose or short else "open"
-    if _REFERENCE.match(re.split(r"(?<=[.?!]) ", last)[-1]) or _BRACKETED.match(last) or _REMARK.match(last):
+    piece = _SENTENCE.split(last)[-1]  # a remark or signature may stand behind the last sentence
+    if any(x.match(piece) for x in (_REFERENCE, _BRACKETED, _REMARK)) or _BRACKETED.match(last):
         return "weak"
-    alone = len(lines) == 1 or not lines[-2].strip()
-    if _SIGNATURE.match(last) and len(last.split()) <= 6:
+    if _SIGNATURE.match(piece) and len(piece.split()) <= 6:
         return "weak"
-    if not alone and _GREETING.match(lines[-2].strip()) and len(last.split()) <= 4:
+    above = lines[-2].strip() if len(lines) > 1 else ""
+    if above and _GREETING.match(_SENTENCE.split(above)[-1]) and len(last.split()) <= 4:
         return "weak"
     if last.startswith("#"):
         return "weak"

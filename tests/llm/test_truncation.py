@@ -12,7 +12,8 @@ from lodeseek.llm import truncation as T
         ("Text.\n\n(end of notes)", "weak"), ("Text.\n\n:-)", "weak"), ("Text.\nSee also: docs/a/b.md", "weak"),
         ("It stops in the mid", "open"), ("All said. See also: docs/a.md", "weak"), ("- It stops in", "open"), ("Code:\n```py\nx = (1", "open_code"),
         ("It was cut he...", "omission"), ("It was cut he [...]", "omission"), ("It was cut he…", "omission"),
-        ("bad byt�", "broken_char"),
+        ("bad byt�", "broken_char"), ("It is closed for good. /turnstile-bot", "weak"), ("It is closed for good. :-)", "weak"),
+        ("Sort them by how soon. Thanks,\nverse team", "weak"), ("It is closed for good. That rum", "open"),
     ],
 )
 def test_ending(text, expected):
@@ -54,3 +55,10 @@ def test_lengths(spark):
     assert got["utf16"] == len(text.encode("utf-16-le")) // 2 and got["utf8"] == len(text.encode())
     assert got["html_quotes"] == len(html.escape(text)) and got["html"] == len(html.escape(text, quote=False))
     assert got["json"] == len(json.dumps(text, ensure_ascii=False)) - 2 and got["json_ascii"] == len(json.dumps(text)) - 2
+
+
+def test_a_character_cut_apart_counts_no_bytes(spark):
+    body = "é" * 99 + "x"
+    rows = [row(i, f"{i:03d}" + body[:96] + "\ufffd", "bytes") for i in range(8)]
+    found = T.find_truncated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.truncated and r.limit is not None and r.ending == "broken_char" for r in found)
