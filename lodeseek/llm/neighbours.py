@@ -39,6 +39,8 @@ CELL, PROBES = 48, 16
 BLOCK = 4096
 #: Candidates of a query in a block of a cell beyond which it is compared with the block's exact vectors instead.
 KEEP = 64
+#: Copies of one vector that one task gives their partners; more are divided among tasks.
+HOT = 50_000
 #: Products of unit vectors in single precision are off by less; what lies so close behind the k-th best is kept.
 SLACK = 2e-5
 
@@ -366,15 +368,22 @@ def neighbour_lists(members: DataFrame, links: DataFrame, k: int = K, directed:
     both = both.unionByName(own.select("field", F.col("b").alias("a"), "b", F.lit(1.0).alias("cosine")))
     best = W.partitionBy("field", "a").orderBy(F.desc("cosine"), "other")
     lists = both.join(few, ["field", "b"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    lists = lists.select("field", F.col("a").alias("class_key"), "other", "cosine", "n")
-    rows = members.join(lists, ["field", "class_key"])
-    # A row's own place in its class's list is skipped; those behind it move up.
-    mine = lists.select("field", F.col("class_key").alias("c"), F.col("other").alias("self"), F.col("n").alias("at"))
-    same = (rows["field"] == mine["field"]) & (rows["class_key"] == mine["c"]) & (rows["id"] == mine["self"])
-    ranked = rows.join(mine, same, "left").select(
-        rows["field"], "id", "other", "cosine", (F.col("n") - (F.coalesce("at", F.lit(k + 2)) < F.col("n")).cast("int")).alias("rank")
+    lists = lists.groupBy("field", F.col("a").alias("class_key")).agg(  # k + 1 partners at most
+        F.array_sort(F.collect_list(F.struct("n", "other", "cosine"))).alias("partners")
     )
-    return ranked.where((F.col("id") != F.col("other")) & (F.col("rank") <= k))
+    # Members of a class with many rows are spread over slices, and its one list is repeated for each slice.
+    sizes = cut_lineage(members.groupBy("field", "class_key").agg(F.count("*").alias("rows")))
+    most = max(HOT, (sizes.agg(F.sum("rows")).first()[0] or 0) >> 16)
+    hot = sizes.where(F.col("rows") > most).select("field", "class_key", F.ceil(F.col("rows") / most).cast("int").alias("slices"))
+    hot = F.broadcast(hot)  # 65,536 rows at most, as each stands for that share of all rows
+    slices = F.coalesce("slices", F.lit(1))
+    key = ["field", "class_key"]
+    lists = lists.join(hot, key, "left").select(*key, "partners", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    rows = members.join(hot, key, "left").select(*key, "id", F.pmod(F.xxhash64("id", F.lit(4)), slices).cast("int").alias("slice"))
+    # A row's own place in its class's list is skipped; those behind it move up.
+    others = F.slice(F.filter("partners", lambda x: x["other"] != F.col("id")), 1, k)
+    ranked = rows.join(lists, [*key, "slice"]).select("field", "id", F.posexplode(others).alias("rank", "partner"))
+    return ranked.select("field", "id", "partner.other", "partner.cosine", (F.col("rank") + 1).alias("rank"))
 
 
 def similar_vectors(

@@ -37,7 +37,8 @@ def brute_force(rows, column, k, least=-2.0):
 
 
 @pytest.mark.parametrize("block", [4096, 10])
-def test_pairs_match_brute_force(spark, block):
+def test_pairs_match_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 4 if block == 10 else N.HOT)
     df, rows = table(spark)
     lists = N.similar_vectors(df, "chunk_id", ["vector", "summary_vector"], block=block)
     got = {(r.field, r.id_a, r.id_b) for r in N.neighbour_pairs(lists).collect()}
