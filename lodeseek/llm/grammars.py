@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from lodeseek.llm.nesting import room_for
-from lodeseek.llm.peg import Parser, Rule, State, action, choice, many, optional, seq, skip, token, unless
+from lodeseek.llm.peg import Parser, Rule, State, action, between, choice, many, optional, seq, skip, token, unless
 
 
 @dataclass
@@ -60,12 +60,14 @@ _JS_STRINGS = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|
 
 def _events(value: object) -> Iterator[tuple]:
     """The marked values in a tree of lists, in order."""
-    if isinstance(value, tuple):
-        if value and isinstance(value[0], str):
-            yield value
-    elif isinstance(value, list):
-        for v in value:
-            yield from _events(v)
+    left = [value]
+    while left:
+        value = left.pop()
+        if isinstance(value, tuple):
+            if value and isinstance(value[0], str):
+                yield value
+        elif isinstance(value, list):
+            left.extend(reversed(value))
 
 
 def _from_events(value: object, language: str) -> list[Found]:
@@ -121,7 +123,7 @@ def _brace_grammar(language: str) -> Parser:
     js, ts = language in ("javascript", "typescript", "tsx"), language in ("typescript", "tsx")
     by_line = language in ("scala", "kotlin")
     string = token(_JS_STRINGS if js else _STRINGS)
-    comment = token(r"//[^\n]*|/\*[\s\S]*?\*/" if language != "haskell" else r"--+[^\n]*|\{-[\s\S]*?-\}")
+    comment = choice(token(r"//[^\n]*"), between("/*", "*/")) if language != "haskell" else choice(token(r"--+[^\n]*"), between("{-", "-}"))
     loose = r"[/'`\"]"  # a mark that opens neither a comment nor a string
     unit, block, generics, type_ = Rule(), Rule(), Rule(), Rule()
 
@@ -161,15 +163,21 @@ def _brace_grammar(language: str) -> Parser:
     else:
         attribute = seq(token(r"@(?!interface\b)[\w.:$]+"), optional(generics), optional(round_))
         modifier = seq(token(_words(_MODIFIERS) + r"(?=[\s*#\[\"]|\w*\*)"), optional(square) if by_line else _)
-    mods = many(choice(seq(attribute, _), seq(modifier, _)))
-    some_mods = many(choice(seq(attribute, _), seq(modifier, _)), least=1)
+    mods = Rule()  # memoised from each of them on, as heads are tried again and again
+    one_mod = skip(choice(seq(attribute, _), seq(modifier, _)))
+    mods.define(choice(seq(one_mod, mods), token("")))
+    some_mods = seq(one_mod, mods)
     no_name = unless(token(_words(_NOT_NAMES)))
     opens = token(r"\s*(?=\{)")
 
+    # The rest of a head within its statement: memoised from each place on, as it is tried from each place.
+    head_rest = Rule()
+    piece = choice(string, comment, round_, square, generics, token(r"[^{}()\[\];\"'`<=]+|<"))
+    head_rest.define(choice(seq(skip(piece), head_rest), token("")))
+
     def up_to(ends: str) -> Parser:
         """Anything within a statement up to one of the marks, which stays."""
-        plain = token(r"[^{}()\[\];\"'`<=]+|<")
-        return seq(skip(many(choice(string, comment, round_, square, generics, plain))), token(rf"(?={ends})"))
+        return seq(skip(head_rest), token(rf"(?={ends})"))
 
     if language == "rust":
         head = seq(mods, token(r"fn\s+"), name)
@@ -212,18 +220,18 @@ def _brace_grammar(language: str) -> Parser:
     function = action(seq(no_name, head, skip(rest)), _named)
 
     gap = action(token(r"[ \t\r]*\n(?P<blank>(?:[ \t\r]*\n)+)?|[ \t\r]+|;|,"), lambda m, a, b: ("blank",) if m.group("blank") else ("space",))
-    remark = action(comment, lambda m, a, b: ("comment", m.group()))
+    remark = action(comment, lambda m, a, b: ("comment", m[0]))
     inner = Rule()
     item = [gap, remark]
     if _TYPE_WORDS[language]:
-        between = token(r"[^{}()\[\];\"'`<\n]+" if by_line else r"[^{}()\[\];\"'`<]+")
+        plain = token(r"[^{}()\[\];\"'`<\n]+" if by_line else r"[^{}()\[\];\"'`<]+")
         type_head = skip(seq(mods, token(r"(?:(?:enum|annotation|data|inner|fun|companion|case|abstract|value|ref)\s+)*" + _words(_TYPE_WORDS[language])),
-                             many(choice(between, generics, string, comment, round_, square, token("<")))))
+                             many(choice(plain, generics, string, comment, round_, square, token("<")))))
         item.append(seq(type_head, token(r"\{"), inner, token(r"\}|\Z")))
     item.append(function)
     item.append(action(choice(string, skip(block), token(r"[^{}()\[\]\"'`/\s;,]+|[/'`\"]|[)\]]")), lambda v, a, b: ("other",)))
     inner.define(many(choice(*item)))
-    return seq(inner, skip(many(token(r"[\s\S]"))))
+    return seq(inner, skip(token(r"[\s\S]*")))
 
 
 _PY_STRING = (

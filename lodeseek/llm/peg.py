@@ -30,6 +30,18 @@ def token(pattern: str, flags: int = 0) -> Parser:
     return parse
 
 
+def between(left: str, right: str) -> Parser:
+    """From one mark to the next other one; its value is a tuple with the text."""
+
+    def parse(s: State, at: int):
+        if not s.text.startswith(left, at):
+            return None
+        end = s.text.find(right, at + len(left))
+        return None if end < 0 else (end + len(right), (s.text[at : end + len(right)],))
+
+    return parse
+
+
 def seq(*parts: Parser) -> Parser:
     parts = tuple(map(_plain, parts))
 

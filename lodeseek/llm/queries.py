@@ -44,6 +44,12 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_files.classify_files(read_table(spark, sf_dir, "chunks"))
 
 
+def p2_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of which one in another repository holds at least four fifths, with the share."""
+    found = foreign_files.containment(cut_lineage(foreign_files.file_signs(read_table(spark, sf_dir, "chunks"))))
+    return found.select("file_path", "language", F.round("contained", 6).alias("contained"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = similarity.similar_texts(read_table(spark, sf_dir, "chunks"), "chunk_id", "content")
     found = similarity.row_pairs(members, pairs)

@@ -163,3 +163,13 @@ def test_a_head_may_stand_anywhere_and_neighbours_stay_apart(spark):
     ]
     found = D.documented_functions(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.file_path, r.func_name) for r in found} == {("a.java", "far"), ("b.py", "f"), ("b.py", "g"), ("c.py", "h")}
+
+
+@pytest.mark.parametrize("text", ["public static " * 3000, "/* " * 4000, "def f(a):\n" * 3000, "x = 1; " * 4000, "class A { " * 2000, "a<" * 4000, "(a) => " * 3000])
+def test_odd_texts_take_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    for language in ("java", "csharp", "typescript", "kotlin", "rust", "python", "ruby"):
+        D.functions_in(language, text)
+    assert time.process_time() - began < 20
