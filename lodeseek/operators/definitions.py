@@ -122,12 +122,14 @@ def _block_end(text: str, at: int, marks: re.Pattern, nested: bool) -> int:
 
 # -- heads ----------------------------------------------------------------------------------------------------------
 
-_MODS = (
+_MODIFIERS = (
     r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|override|virtual|async|unsafe|extern|partial|readonly|new|data|inner|inline|"
     r"value|annotation|enum(?=\s+class)|fun(?=\s+interface)|suspend|operator|infix|tailrec|external|expect|actual|const|lateinit|case|implicit|lazy|opaque|"
-    r"transparent|non-sealed|strictfp|synchronized|native|default|ref|file|required)(?:\[\w+\])?\s+)*"
+    r"transparent|non-sealed|strictfp|synchronized|native|default|ref|file|required)(?:\[\w+\])?\s+)"
 )
-_MARKED = r"(?:@(?!interface\b)[\w.:]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?\s*)*"
+_MARK = r"(?:@(?!interface\b)[\w.:]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?\s*)"
+_MODS = f"{_MODIFIERS}*+"  # possessive: what may stand before a head is never tried in parts
+_MARKED = f"(?:{_MARK}|{_MODIFIERS})*+"
 _GENERIC = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"
 _TYPE = rf"[\w.]+(?:\s*{_GENERIC})?(?:\s*\[[\s,]*\])*\??"
 _NOT_TYPES = r"(?!(?:return|throw|new|else|await|yield|using|package|import|goto|case|assert|delete|in|is|as|var)\b)"
@@ -147,7 +149,7 @@ HEADS: dict[str, list[tuple[str, str]]] = {
         ]
     ],
     "java": [
-        (kind, _MARKED + _MODS + _MARKED + _MODS + pattern)
+        (kind, _MARKED + pattern)
         for kind, pattern in [
             ("class_declaration", r"class\s+(?P<name>\w+)"), ("annotation_type_declaration", r"@interface\s+(?P<name>\w+)"),
             ("interface_declaration", r"interface\s+(?P<name>\w+)"), ("enum_declaration", r"enum\s+(?P<name>\w+)"),
@@ -174,7 +176,7 @@ HEADS: dict[str, list[tuple[str, str]]] = {
         ("class_declaration", r"(?:abstract\s+)?class\b\s*(?P<name>(?!extends\b|implements\b)[\w$]*)"),
     ],
     "kotlin": [
-        (kind, _MARKED + _MODS + _MARKED + _MODS + pattern)
+        (kind, _MARKED + pattern)
         for kind, pattern in [
             ("companion_object", r"companion\s+object\b\s*(?P<name>\w*)"), ("class_declaration", r"(?:class|interface)\s+(?P<name>\w+)"),
             ("object_declaration", r"object\s+(?P<name>\w+)"), ("type_alias", r"typealias\s+(?P<name>\w+)"),
@@ -183,7 +185,7 @@ HEADS: dict[str, list[tuple[str, str]]] = {
         ]
     ],
     "scala": [
-        (kind, _MARKED + _MODS + pattern)
+        (kind, _MARKED + pattern)
         for kind, pattern in [
             ("function_definition", r"def\s+(?P<name>[^\s(\[:={]+)"), ("class_definition", r"class\s+(?P<name>\w+)"),
             ("object_definition", r"(?:package\s+)?object\s+(?P<name>\w+)"), ("trait_definition", r"trait\s+(?P<name>\w+)"),

@@ -1,4 +1,5 @@
 import textwrap
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -352,3 +353,11 @@ def test_any_nesting(language):
 def test_definitions_never_fail_and_never_overlap(text, language):
     found = definitions(language, text)
     assert all(a.end <= b.start for a, b in zip(found, found[1:])) and all(d.start < d.end <= len(text) for d in found)
+
+
+@pytest.mark.parametrize("text", ["public static " * 3000, "/* " * 4000, "def f(a):\n" * 3000, "x = 1; " * 4000, "a<" * 4000, "(a) => " * 3000, "fn f(a) { " * 1000])
+def test_odd_texts_take_time_in_proportion(text):
+    began = time.process_time()
+    for language in HEADS:
+        definitions(language, text)
+    assert time.process_time() - began < 20
