@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.sources.tables import cut_lineage
+
 #: A mark that a system puts in place of what it cut.
 OMISSION = r"\s*(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\)|(?:\.\.\.|…))\s*\z"
 
@@ -113,7 +114,26 @@ def ending(text: str) -> str:
     return "open"
 
 
-LIMITS = ("source", "counting", "length")
+def sized_texts(documents: DataFrame) -> DataFrame:
+    """What one pass over the texts tells of each document: doc_id, source, n_chars, text_hash, sizes (one a way of
+    counting, without a mark of omission), most (the largest length of the whole text, where ``n_chars`` is above its
+    characters), ending. A null text's sizes are null and its end is closed."""
+
+    @F.pandas_udf("string")
+    def endings(texts: pd.Series) -> pd.Series:
+        return pd.Series(["closed" if not t else ending(t) for t in texts], dtype=object)
+
+    one = documents.select("doc_id", "source", "n_chars", "text", without_mark(F.col("text")).alias("_bare"))
+    most = F.greatest(*lengths(F.col("text")).values())
+    return one.select(
+        "doc_id",
+        "source",
+        "n_chars",
+        F.xxhash64("_bare").alias("text_hash"),
+        F.array(*[v.cast("int") for v in lengths(F.col("_bare")).values()]).alias("sizes"),  # unconditional: counts are shared
+        F.when(F.col("n_chars") > F.length("text"), most).alias("most"),
+        endings("text").alias("ending"),
+    )
 
 
 def hidden_limits(documents: DataFrame, min_texts: int = 5, min_share: float = 0.3, slack: int = 3) -> DataFrame:
@@ -123,22 +143,19 @@ def hidden_limits(documents: DataFrame, min_texts: int = 5, min_share: float = 0
     ``slack`` longer, and these texts are at least ``min_share`` of those that reach nine tenths of it. A mark of
     omission at the end isn't counted. Null texts don't count; a null source is a source of its own.
     """
-    text = without_mark(F.col("text"))
-    one = documents.where(F.col("text").isNotNull()).select("source", text.alias("text"))
-    counted = F.array(*[F.struct(F.lit(k).alias("counting"), v.alias("length")) for k, v in lengths(F.col("text")).items()])
-    sizes = one.select("source", F.xxhash64("text").alias("text_hash"), F.inline(counted))
+    return _limits(sized_texts(documents), min_texts, min_share, slack)
+
+
+def _limits(sized: DataFrame, min_texts: int = 5, min_share: float = 0.3, slack: int = 3) -> DataFrame:
     # Copies count once; then one row for each length that occurs, which pre-aggregates before the second shuffle.
-    by_length = (
-        sizes.groupBy("source", "counting", "length", "text_hash")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("source", "counting", "length")
-        .agg(F.count("*").alias("texts"))
-    )
+    texts = sized.where(F.get("sizes", F.lit(0)).isNotNull()).groupBy("source", "text_hash").agg(F.first("sizes").alias("sizes"))
+    named = F.arrays_zip(F.array(*map(F.lit, lengths(F.lit("")))).alias("counting"), F.col("sizes").alias("length"))
+    by_length = texts.select("source", F.inline(named).alias("counting", "length")).groupBy("source", "counting", "length").agg(F.count("*").alias("texts"))
     # Frames over the lengths of a source: one row a length, however many texts there are. Nine tenths of a length lie a
-    # fixed distance below it on a logarithmic scale.
+    # fixed distance below it on a logarithmic scale. Frames begin at the longest text, so that they only grow.
     partition = "PARTITION BY source, counting ORDER BY"
-    near = F.expr(f"sum(texts) OVER ({partition} ln(length) RANGE BETWEEN {-math.log(0.9)!r}D PRECEDING AND UNBOUNDED FOLLOWING)")
-    beyond = F.expr(f"sum(texts) OVER ({partition} length RANGE BETWEEN {slack + 1} FOLLOWING AND UNBOUNDED FOLLOWING)")
+    near = F.expr(f"sum(texts) OVER ({partition} ln(length) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {-math.log(0.9)!r}D FOLLOWING)")
+    beyond = F.expr(f"sum(texts) OVER ({partition} length DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {slack + 1} PRECEDING)")
     framed = by_length.where(F.col("length") > 0).withColumn("near", near).withColumn("beyond", F.coalesce(beyond, F.lit(0)))
     limit = (F.col("texts") >= min_texts) & (F.col("beyond") * 10 <= F.col("texts"))
     return framed.where(limit & (F.col("texts") >= F.col("near") * min_share)).select("source", "counting", "length", "texts")
@@ -151,35 +168,17 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     its source, "recorded" if ``n_chars`` is above every length that the text can have, or is null. ``truncated`` is
     true for an ending that is unfinished in itself, and for a weak one (list entry, reference, remark, signature) at a
     limit. Null and empty texts aren't truncated; repeated rows are judged alike. Only doc_id, text, source and n_chars
-    are read.
+    are read; each text is gone through once.
     """
-    documents = documents.select("doc_id", "text", "source", "n_chars")
-    limits = hidden_limits(documents)
-    by_source = limits.groupBy("source").agg(
+    seen = cut_lineage(sized_texts(documents.withColumn("doc_id", F.col("doc_id").cast("long"))))
+    by_source = _limits(seen).groupBy("source").agg(
         F.collect_list(F.struct("counting", "length")).alias("_limits")  # one element a limit: a handful a source
     )
-    schema = "doc_id long, source string, n_chars long, most int, sizes map<string,int>, ending string"
-
-    stripped = without_mark(F.col("text"))
-    sized = documents.select(
-        "*",
-        F.greatest(*lengths(F.col("text")).values()).alias("most"),
-        F.map_from_arrays(
-            F.array(*map(F.lit, lengths(F.col("text")))), F.array(*[v.cast("int") for v in lengths(stripped).values()])
-        ).alias("sizes"),
-    )
-
-    def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["ending"] = ["closed" if not t else ending(t) for t in batch.pop("text")]
-            yield batch
-
-    seen = sized.where(F.col("doc_id").isNotNull()).mapInPandas(inspect, schema)
-    left, right = seen.alias("d"), by_source.alias("l")
+    left, right = seen.where(F.col("doc_id").isNotNull()).alias("d"), by_source.alias("l")
     joined = left.join(right, F.col("d.source").eqNullSafe(F.col("l.source")), "left")
-    hit = F.filter(
-        "_limits", lambda x: F.element_at(F.col("sizes"), x["counting"]).between(x["length"] - 3, x["length"])
-    )
+    place = {name: n for n, name in enumerate(lengths(F.lit("")))}
+    places = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    hit = F.filter("_limits", lambda x: F.get("sizes", F.element_at(places, x["counting"])).between(x["length"] - 3, x["length"]))
     limit = F.when(F.size(hit) > 0, F.array_min(F.transform(hit, lambda x: x["counting"]))).when(
         F.col("n_chars") > F.col("most"), F.lit("recorded")
     )
