@@ -241,6 +241,16 @@ def core_oracle_sql() -> dict[str, str]:
             ), m AS (SELECT *, max(opens) OVER (PARTITION BY chunk_id ORDER BY no) AS run FROM o)
             SELECT chunk_id, no AS function_line, run AS first_line, no - run AS lines
             FROM m WHERE regexp_matches(line, '^\s*(pub(\([a-z]+\))? )?(async )?(fn|func|def|let) ') AND before""",
+        "function_heads": rf"""
+            WITH f AS (
+                SELECT rel_path AS file_path, regexp_extract(rel_path, '[.](\w+)$', 1) AS e, {_LINES.format('decode(bytes)')} AS ls
+                FROM source_files WHERE bytes IS NOT NULL AND {_TEXT_OK} AND regexp_matches(rel_path, '[^/][.](go|rs|rb)$')
+            ), l AS (SELECT file_path, e, unnest(ls) AS line, unnest(range(0, len(ls)))::INT AS start_line FROM f),
+            h AS (
+                SELECT file_path, start_line, regexp_extract(line, CASE e WHEN 'go' THEN '^func\s+(?:\([^)]*\)\s*)?(\w+)' WHEN 'rb' THEN '^def\s+(?:self[.])?([\w?!]+)'
+                    ELSE '^(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:async|const|unsafe)\s+)*fn\s+(\w+)' END, 1) AS symbol FROM l
+            )
+            SELECT file_path, symbol, start_line FROM h WHERE symbol <> ''""",
         "event_kinds": """
             SELECT kind, count(*) AS events, count(DISTINCT path) AS files FROM change_event
             WHERE kind IN ('create', 'modify', 'remove') AND path IS NOT NULL AND ts IS NOT NULL GROUP BY 1""",

@@ -330,6 +330,16 @@ def parse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.parse_files(read_table(spark, sf_dir, "source_files"))
 
 
+def function_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the functions of Go, Rust and Ruby files begin that stand at the margin."""
+    files = read_table(spark, sf_dir, "source_files").where(X.language_of(F.col("rel_path")).isin("go", "rust", "ruby"))
+    found = chunking.parse_files(files, 1 << 30)
+    texts = chunking.decoded(files).select(F.col("rel_path").alias("file_path"), X.lines(F.col("text")).alias("lines"))
+    kinds = ("function_declaration", "method_declaration", "function_item", "method", "singleton_method")
+    found = found.where(F.col("node_kind").isin(*kinds)).join(texts, "file_path")
+    return found.where(F.get("lines", F.col("start_line")).rlike(r"^\S")).select("file_path", "symbol", "start_line")
+
+
 # -- change events --------------------------------------------------------------------------------------------------
 
 
@@ -349,7 +359,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         vector_dim_check, file_status, refresh_counters, upsert_snapshot, delete_file_rows, escape_free_lookup, content_hash,
         index_stats, valid_utf8_filter, list_files, glob_include, glob_exclude, extension_filter, default_listing, language_dispatch,
         line_windows, file_windows, oversize_split, strip_xml_tags, strip_comment_markers, strip_block_comments, dedent_docstring,
-        doc_comment_runs, parse_chunks, event_kinds, debounce_bursts,
+        doc_comment_runs, parse_chunks, function_heads, event_kinds, debounce_bursts,
     ]
     named = {f"{s}_files": _with_status(s) for s in ("new", "changed", "unchanged", "removed")}
     return {f.__name__: f for f in plain} | named
