@@ -56,6 +56,9 @@ _DOC_MARK = {
     "haskell": r"-- ?[|^]|\{- ?\|", "go": r"", "ruby": r"", "python": r"",
 }
 _STRINGS = r"\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[^\n][^'\n]{0,8})'|`(?:[^`\\]|\\[\s\S])*`"
+# Brackets that hold neither strings nor comments, and brackets one deep at most: passed over as one token.
+_SMALL = r"\((?:[^(){}\[\]\"'`/]++|\([^(){}\[\]\"'`/]*+\))*+\)|\[[^(){}\[\]\"'`/]*+\]"
+_PY_SMALL = r"\((?:[^(){}\[\]\"'#]++|\([^(){}\[\]\"'#]*+\))*+\)|\[[^(){}\[\]\"'#]*+\]"
 _JS_STRINGS = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
 
 def _events(value: object) -> Iterator[tuple]:
@@ -127,12 +130,17 @@ def _brace_grammar(language: str) -> Parser:
     loose = r"[/'`\"]"  # a mark that opens neither a comment nor a string
     unit, block, generics, type_ = Rule(), Rule(), Rule(), Rule()
 
+    def stretch(but: str) -> Parser:
+        """Text without ``but``, with the strings, line comments and small brackets in it, as one token."""
+        remark = "" if language == "haskell" else r"|//[^\n]*+"
+        return token(rf"(?:[^{{}}()\[\]\"'`/{but}]++|{_SMALL}|{_JS_STRINGS if js else _STRINGS}{remark})++")
+
     def enclosed(left: str, right: str) -> Parser:
         return skip(seq(token(left), many(unit), token(rf"{right}|\Z")))
 
     round_, square, curly = enclosed(r"\(", r"\)"), enclosed(r"\[", r"\]"), enclosed(r"\{", r"\}")
     block.define(choice(curly, round_, square))
-    unit.define(choice(token(r"[^{}()\[\]\"'`/]+"), string, comment, block, token(loose)))
+    unit.define(choice(stretch(""), comment, block, token(loose)))
     generics.define(
         skip(seq(token("<"), many(choice(token(r"(?:[^<>{}()\[\];\"'`=-]|[=-]>?)+"), string, generics, block, token("'"))), token(">")))
     )
@@ -211,9 +219,9 @@ def _brace_grammar(language: str) -> Parser:
 
     # What follows a head: a body in braces, an expression, or the end of a declaration without one.
     ended = token(r"[^\n;{}]*;") if language not in ("scala", "kotlin", "rust") else token(r"(?!)")
-    tail = skip(many(choice(token(r"[^{}()\[\]\"'`/;\n]+"), string, comment, round_, square, token(loose))))
+    tail = skip(many(choice(stretch(r";\n"), comment, round_, square, token(loose))))
     if by_line:  # a body may be an expression behind "=", which may begin on the next line
-        line = skip(many(choice(token(r"[^{}()\[\]\"'`/\n]+"), string, comment, block, token(loose))))
+        line = skip(many(choice(stretch(r"\n"), comment, block, token(loose))))
         rest = seq(line, optional(seq(token(r"(?<==)[ \t]*\n\s*"), line)))
     else:
         rest = seq(tail, choice(curly, token(r";|\n|\Z"), ended))
@@ -242,7 +250,7 @@ _PY_STRING = (
 def _python_grammar() -> Parser:
     """Lines: decorator / function head with an optional docstring / type head / comment / blank / statement."""
     brackets = Rule()
-    piece = choice(token(_PY_STRING), token(r"#[^\n]*"), brackets, token(r"[^()\[\]{}\"'#\n]+|[\"']"))
+    piece = choice(token(rf"(?:[^()\[\]{{}}\"'#\n]++|{_PY_SMALL}|{_PY_STRING}|#[^\n]*+)++"), brackets, token(r"[\"']"))
     inside = choice(piece, token(r"\n"))
     brackets.define(choice(*(skip(seq(token(a), many(inside), token(rf"{b}|\Z"))) for a, b in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}")))))
     to_end = seq(many(piece), token(r"\n|\Z"))
