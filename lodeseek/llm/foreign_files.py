@@ -231,25 +231,24 @@ def containment(signs: DataFrame, rare: int = RARE) -> DataFrame:
     file don't make its lines common. Lines that more texts share are boilerplate and count neither for nor against.
     If less than half of a text's lines are rare, as in a library that many repositories hold with small edits, the share
     is of all its lines: a file that holds CONTAINED of them holds one of the rarest few (``_common_share``).
-    The index holds one row for each rare line and text.
+    The index holds one row for each text and line that another text has too; lines that one text alone has are counted only.
     """
     texts = signs.groupBy("text_hash").agg(F.first("line_hashes").alias("line_hashes"))
     lines = texts.select("text_hash", F.explode("line_hashes").alias("line"))
-    # df with a partial step; only lines that some text shares and that are rare stay in the index.
-    shared = lines.groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts").between(2, rare)).select("line")
-    index = lines.join(shared, "line")
-    # A rare line of the file that nobody shares still counts in the size.
-    counted = lines.join(lines.groupBy("line").agg(F.count("*").alias("texts")), "line")
-    size = counted.groupBy("text_hash").agg(F.count_if(F.col("texts") <= rare).alias("size"), F.count("*").alias("lines"))
-    size = cut_lineage(size)
-    common_lined = size.where(2 * F.col("size") < F.col("lines")).select("text_hash", "lines")
+    shared = lines.groupBy("line").agg(F.count("*").alias("texts")).where("texts > 1")
+    index = cut_lineage(lines.join(shared, "line"))
+    held = index.groupBy("text_hash").agg(F.count("*").alias("shared"), F.count_if(F.col("texts") > rare).alias("often"))
+    size = signs.groupBy("text_hash").agg(F.first(F.size("line_hashes")).alias("lines")).join(held, "text_hash")
+    size = cut_lineage(size.withColumn("size", F.col("lines") - F.col("often")))
+    common_lined = size.where(2 * F.col("size") < F.col("lines"))
     size = size.where(2 * F.col("size") >= F.col("lines")).select("text_hash", "size")
-    a = index.join(size.select("text_hash"), "text_hash", "left_semi").select("line", F.col("text_hash").alias("a"))
-    b = index.select("line", F.col("text_hash").alias("b"))
+    few = index.where(F.col("texts") <= rare)
+    a = few.join(size.select("text_hash"), "text_hash", "left_semi").select("line", F.col("text_hash").alias("a"))
+    b = few.select("line", F.col("text_hash").alias("b"))
     common = a.join(b, "line").where("a != b").groupBy("a", "b").agg(F.count("*").alias("common"))
     share = common.join(size, common["a"] == size["text_hash"]).select("a", "b", (F.col("common") / F.col("size")).alias("share"))
     share = share.where(F.col("share") >= CONTAINED)
-    share = share.unionByName(_common_share(counted, lines, common_lined))
+    share = share.unionByName(_common_share(index, common_lined))
     share = cut_lineage(share)
     back = share.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("mutual"))
     share = share.join(back, ["a", "b"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
@@ -272,18 +271,20 @@ def containment(signs: DataFrame, rare: int = RARE) -> DataFrame:
     )
 
 
-def _common_share(counted: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, share of a's lines (all of them) in b, if at least CONTAINED, for ``texts`` (text_hash, lines).
+def _common_share(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, share of a's lines (all of them) in b, if at least CONTAINED, for ``texts`` (text_hash, lines, shared).
 
-    Exact: b lacks at most a fifth of a's lines, so it has one of any greater number of them; the rarest are looked up.
+    Exact: b lacks at most a fifth of a's lines, so it has one of any greater number of them; the rarest are looked up. Lines
+    that a alone has are the rarest, and there is nothing to look up for them.
     """
-    own = cut_lineage(counted.join(texts, "text_hash"))
+    own = cut_lineage(index.join(texts.select("text_hash", "lines", "shared"), "text_hash"))
     rarest = W.partitionBy("text_hash").orderBy("texts", "line")
-    few = own.withColumn("n", F.row_number().over(rarest)).where(F.col("n") <= F.floor(F.col("lines") * (1 - CONTAINED) + 1e-9) + 1)
-    pairs = few.select("line", F.col("text_hash").alias("a")).join(lines.select("line", F.col("text_hash").alias("b")), "line")
+    needed = F.floor(F.col("lines") * (1 - CONTAINED) + 1e-9) + 1 - (F.col("lines") - F.col("shared"))
+    few = own.withColumn("n", F.row_number().over(rarest)).where(F.col("n") <= needed)
+    pairs = few.select("line", F.col("text_hash").alias("a")).join(index.select("line", F.col("text_hash").alias("b")), "line")
     pairs = pairs.where("a != b").select("a", "b").distinct()
     both = own.select(F.col("text_hash").alias("a"), "lines", "line").join(pairs, "a")
-    both = both.join(lines.select(F.col("text_hash").alias("b"), "line"), ["b", "line"])
+    both = both.join(index.select(F.col("text_hash").alias("b"), "line"), ["b", "line"])
     share = both.groupBy("a", "b").agg((F.count("*") / F.max("lines")).alias("share"))
     return share.where(F.col("share") >= CONTAINED)
 
