@@ -33,9 +33,12 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """Unit-length copy; a zero vector, which has no direction, gives null."""
+    """Unit-length copy; a zero vector, which has no direction, gives null.
+
+    The length goes in as a second array: within a lambda it would be computed again for every element.
+    """
     length = norm(v)
-    return F.when(length > 0, F.transform(as_double(v), lambda x: x / length))
+    return F.when(length > 0, F.zip_with(as_double(v), F.array_repeat(length, F.size(v)), lambda x, n: x / n))
 
 
 def usable(v: Column, dim: int) -> Column:
